@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import packing, tokens
+from corpusmill.llm import packing, similar_vectors, splitting, tokens
 from corpusmill.sources.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors.neighbour_pairs(similar_vectors.nearest(table(spark, sf_dir, "chunks")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_records(table(spark, sf_dir, "chunks"))
+    return pieces.select("id", "piece_no", "start_line", "end_line")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -18,7 +27,12 @@ def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_bins": p8_bins}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p5_found": p5_found,
+    "p7_ids": p7_ids,
+    "p8_bins": p8_bins,
+}
 
 #: SQL twins of those queries that SQL can express on whole tables.
 SQL: dict[str, str] = {}
