@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import packing, similar_vectors, splitting, tokens
+from corpusmill.llm import near_duplicates, packing, similar_vectors, splitting, tokens
 from corpusmill.sources.tables import table
 
 
@@ -14,6 +14,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors.neighbour_pairs(similar_vectors.nearest(table(spark, sf_dir, "chunks")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.NearDuplicates(table(spark, sf_dir, "chunks")).pairs()
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.NearDuplicates(table(spark, sf_dir, "chunks")).groups()
+
+
+def p2_groups_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.NearDuplicates(table(spark, sf_dir, "chunks"), weighted=True).groups()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_records(table(spark, sf_dir, "chunks"))
     return pieces.select("id", "piece_no", "start_line", "end_line")
@@ -29,6 +41,9 @@ def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p2_groups_weighted": p2_groups_weighted,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_bins": p8_bins,

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.llm.compact_keys import compact, plain, plain_list
 from corpusmill.runtime import cut, ship
 from corpusmill.sources.tables import latest
 
@@ -173,9 +174,6 @@ def top_k(q: np.ndarray, m: np.ndarray, k: int, own: np.ndarray | None = None) -
 
 # ---------------------------------------------------------------- the operator
 
-_COMPACT = "case when key rlike '^[0-9a-f]{32}$' then unhex(key) else encode(rpad(concat('=', key), greatest(17, length(key) + 1), '\\0'), 'UTF-8') end"
-_PLAIN = "case when length({0}) = 16 then lower(hex({0})) else substring(trim(TRAILING '\\0' FROM decode({0}, 'UTF-8')), 2) end"
-
 
 def _usable(df: DataFrame, key: str, version: str | None, vector: str, dims: int) -> DataFrame:
     """(key, vec): compact key and bytes of the vector of every record that has a usable one."""
@@ -186,7 +184,7 @@ def _usable(df: DataFrame, key: str, version: str | None, vector: str, dims: int
 
     when = F.col(version) if version else F.lit(0)
     rows = df.select(F.col(key).cast("string").alias("key"), when.alias("version"), F.col(vector).cast("array<float>").alias("v"))
-    rows = rows.where(F.col("key").isNotNull()).withColumn("key", F.expr(_COMPACT))
+    rows = rows.where(F.col("key").isNotNull()).withColumn("key", compact("key"))
     kind = rows.schema["version"].dataType.simpleString()
     return latest(rows.mapInArrow(run, f"key binary, version {kind}, vec binary"), "key", "version").where(F.col("vec").isNotNull()).select("key", "vec")
 
@@ -348,7 +346,7 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", version:
     merged = merged.select("key", F.transform(F.slice(F.array_sort("near"), 1, k), lambda x: x["key"]).alias("near"))
     if copies is not None:
         merged = merged.unionByName(copies)
-    return merged.select(F.expr(_PLAIN.format("key")).alias(key), F.expr(f"transform(near, x -> {_PLAIN.format('x')})").alias("near"))
+    return merged.select(plain("key").alias(key), plain_list("near").alias("near"))
 
 
 def hash_of(key: bytes) -> int:
