@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import near_duplicates, packing, similar_vectors, splitting, tokens
+from corpusmill.llm import abuse, near_duplicates, packing, similar_vectors, splitting, tokens
 from corpusmill.sources.tables import table
 
 
@@ -39,6 +39,23 @@ def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, sf_dir, "documents")))
 
 
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return abuse.score_documents(documents, abuse.fit_model(documents, table(spark, sf_dir, "abuse_labels")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir).where("flagged").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir)
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_labels"), by="source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -47,6 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_bins": p8_bins,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 #: SQL twins of those queries that SQL can express on whole tables.
