@@ -1,7 +1,8 @@
 """The k most similar vectors of every vector (problem 1).
 
-A hierarchical k-means tree over unit vectors is fitted on a bounded sample and then indexes every row.
-A query walks the tree best bin first: nodes wait in a priority queue by how much farther their centre
+Hierarchical k-means trees over unit vectors are fitted on bounded samples and then index every row; two
+trees of different samples miss different neighbours, so together they need far fewer leaves than one.
+A query walks each tree best bin first: nodes wait in a priority queue by how much farther their centre
 is than the nearest centre of their level, and leaves are opened in that order while this margin is
 within a bound. The bound is the widening: it is read off a calibration that compares the margins at which
 true neighbours of some queries (brute force over all rows) lie in the tree with the recall asked for.
@@ -23,7 +24,8 @@ from corpusmill.runtime import cut, ship
 from corpusmill.sources.tables import latest
 
 #: Rows a leaf is meant to hold, rows of the sample for each leaf, and the bound of the sample.
-LEAF_ROWS, SAMPLE_PER_LEAF, SAMPLE_MOST = 1000, 64, 131_072
+LEAF_ROWS, SAMPLE_PER_LEAF, SAMPLE_MOST = 500, 64, 131_072
+TREES = 2
 #: Queries of the calibration and the share of their true neighbours that the opened leaves must hold.
 CALIBRATION_QUERIES, TARGET_RECALL = 600, 0.985
 #: A leaf with more members, or more visitors, than these is searched in blocks by several tasks.
@@ -161,6 +163,32 @@ class Tree:
         return out
 
 
+class Forest:
+    """Trees side by side, their leaves numbered through."""
+
+    def __init__(self, samples: list[np.ndarray], leaves: int):
+        self.trees = [Tree(x, leaves, seed=17 + i) for i, x in enumerate(samples)]
+        self.offset = np.cumsum([0] + [len(t.leaf) for t in self.trees])
+        self.size = int(self.offset[-1])
+
+    def widening(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The widening at which some tree opens for row i of ``x`` the leaf of row i of ``near``."""
+        return np.min([t.margins(x, t.home(near)) for t in self.trees], axis=0)
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([t.home(x) + o for t, o in zip(self.trees, self.offset)])
+
+    def visit(self, x: np.ndarray, widen: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, whether it indexes the row there) of every leaf that the rows open."""
+        rows, leaves, home = [], [], []
+        for t, o in zip(self.trees, self.offset):
+            r, leaf = t.visit(x, widen)
+            rows.append(r)
+            leaves.append(leaf + o)
+            home.append(np.r_[True, np.diff(r) > 0])
+        return np.concatenate(rows), np.concatenate(leaves), np.concatenate(home)
+
+
 def top_k(q: np.ndarray, m: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(positions in ``m``, cosines) of the best of each row of ``q``, unordered; own[i] is never a hit of row i."""
     s = q @ m.T
@@ -197,36 +225,33 @@ def _sample(vecs: DataFrame, n: int, of: int, seed: int, dims: int) -> tuple[lis
     return [bytes(r.key) for r in rows], from_bytes([bytes(r.vec) for r in rows], dims)
 
 
-def _true_neighbours(vecs: DataFrame, tree: Tree, keys: list[bytes], q: np.ndarray, k: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query number, leaf) of the k true neighbours of each query, by brute force over all rows."""
-    numbers = {x: i for i, x in enumerate(keys)}
+def _true_neighbours(vecs: DataFrame, keys: list[bytes], q: np.ndarray, k: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, unit vector) of the k true neighbours of each query, by brute force over all rows."""
+    held = vecs.sparkSession.sparkContext.broadcast(({x: i for i, x in enumerate(keys)}, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = []
+        numbers, q = held.value
+        best = np.full((len(q), k), -3, np.float32)
+        blobs = np.full((len(q), k), b"", object)
         for b in batches:
-            m = from_bytes(b.column(1).to_pylist(), dims)
-            s = q @ m.T
+            if not b.num_rows:
+                continue
+            raw = b.column(1).to_pylist()
+            s = q @ from_bytes(raw, dims).T
             for j, x in enumerate(b.column(0).to_pylist()):
                 if x in numbers:
                     s[numbers[x], j] = -3
-            at = np.argpartition(-s, min(k, len(m)) - 1, axis=1)[:, :k]
-            best.append((np.take_along_axis(s, at, 1), tree.home(m)[at]))
-            if len(best) > 8:
-                best = [_best(best, k)]
-        if best:
-            s, leaf = _best(best, k)
-            n = np.repeat(np.arange(len(q)), s.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(s.ravel().astype(np.float32)), pa.array(leaf.ravel())], ["q", "s", "leaf"])
-
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "leaf"))
-    rows = vecs.mapInArrow(run, "q bigint, s float, leaf bigint").withColumn("r", rank).where(F.col("r") <= k).select("q", "leaf").toPandas()
-    return rows["q"].to_numpy(), rows["leaf"].to_numpy()
+            at = np.argpartition(-s, min(k, len(raw)) - 1, axis=1)[:, :k]
+            s = np.concatenate([best, np.take_along_axis(s, at, 1)], 1)
+            blobs = np.concatenate([blobs, np.array([*raw, b""], object)[at]], 1)
+            top = np.argsort(-s, axis=1)[:, :k]
+            best, blobs = np.take_along_axis(s, top, 1), np.take_along_axis(blobs, top, 1)
+        i, j = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(best[i, j]), pa.array(blobs[i, j].tolist(), pa.binary())], ["q", "s", "vec"])
 
-
-def _best(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    s, leaf = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts], 1)
-    at = np.argsort(-s, axis=1)[:, :k]
-    return np.take_along_axis(s, at, 1), np.take_along_axis(leaf, at, 1)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec"))
+    rows = vecs.mapInArrow(run, "q bigint, s float, vec binary").withColumn("r", rank).where(F.col("r") <= k).select("q", "vec").collect()
+    return np.asarray([r.q for r in rows], np.int64), from_bytes([bytes(r.vec) for r in rows], dims)
 
 
 def _copies(vecs: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
@@ -268,44 +293,43 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", version:
         vecs = cut(vecs)
     n = vecs.count()
     leaves = max(1, min(n // LEAF_ROWS, SAMPLE_MOST // SAMPLE_PER_LEAF))
-    _, sample = _sample(vecs, max(4096, leaves * SAMPLE_PER_LEAF), n, 1, dims)
-    if not len(sample):
-        leaves, sample = 1, np.ones((1, dims), np.float32)
-    tree = Tree(sample, leaves)
+    samples = [_sample(vecs, max(4096, leaves * SAMPLE_PER_LEAF), n, 1 + i, dims)[1] for i in range(TREES if leaves > 1 else 1)]
+    if leaves == 1:
+        samples = [x[:1] if len(x) else np.ones((1, dims), np.float32) for x in samples]
+    forest = Forest(samples, leaves)
     widen = 0.0
     if leaves > 1:
-        keys, q = _sample(vecs, CALIBRATION_QUERIES, n, 2, dims)
-        number, leaf = _true_neighbours(vecs, tree, keys, q, k, dims)
-        widen = float(np.quantile(tree.margins(q[number], leaf), recall)) + 1e-6
-    held = spark.sparkContext.broadcast((tree, widen))
+        keys, q = _sample(vecs, CALIBRATION_QUERIES, n, 0, dims)
+        number, near = _true_neighbours(vecs, keys, q, k, dims)
+        widen = float(np.quantile(forest.widening(q[number], near), recall)) + 1e-6
+    held = spark.sparkContext.broadcast((forest, widen))
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, widen = held.value
-        members, visitors = np.zeros(len(tree.leaf), np.int64), np.zeros(len(tree.leaf), np.int64)
+        forest, widen = held.value
+        members, visitors = np.zeros(forest.size, np.int64), np.zeros(forest.size, np.int64)
         for b in batches:
             if b.num_rows:
-                x = from_bytes(b.column(1).to_pylist(), dims)
-                members += np.bincount(tree.home(x), minlength=len(members))
-                visitors += np.bincount(tree.visit(x, widen)[1], minlength=len(members))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(members))), pa.array(members), pa.array(visitors)], ["leaf", "m", "v"])
+                _, leaf, home = forest.visit(from_bytes(b.column(1).to_pylist(), dims), widen)
+                members += np.bincount(leaf[home], minlength=forest.size)
+                visitors += np.bincount(leaf, minlength=forest.size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(forest.size)), pa.array(members), pa.array(visitors)], ["leaf", "m", "v"])
 
-    # as many rows as the tree has leaves, which SAMPLE_MOST bounds
+    # as many rows as the trees have leaves, which SAMPLE_MOST bounds
     load = vecs.mapInArrow(counting, "leaf bigint, m bigint, v bigint").groupBy("leaf").agg(F.sum("m").alias("m"), F.sum("v").alias("v")).toPandas()
-    m_blocks, v_blocks = np.ones(len(tree.leaf), np.int64), np.ones(len(tree.leaf), np.int64)
+    m_blocks, v_blocks = np.ones(forest.size, np.int64), np.ones(forest.size, np.int64)
     m_blocks[load["leaf"]] = np.maximum(1, -(-load["m"] // MEMBERS_AT_ONCE))
     v_blocks[load["leaf"]] = np.maximum(1, -(-load["v"] // VISITORS_AT_ONCE))
     blocks = spark.sparkContext.broadcast((m_blocks, v_blocks))
 
     def routing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tree, widen), (m_blocks, v_blocks) = held.value, blocks.value
+        (forest, widen), (m_blocks, v_blocks) = held.value, blocks.value
         for b in batches:
             if not b.num_rows:
                 continue
             keys = b.column(0).to_pylist()
             x = from_bytes(b.column(1).to_pylist(), dims)
             spread = np.fromiter((hash_of(i) for i in keys), np.int64, len(keys))
-            row, leaf = tree.visit(x, widen)
-            home = np.r_[True, np.diff(row) > 0]
+            row, leaf, home = forest.visit(x, widen)
             simple = (m_blocks[leaf] == 1) & (v_blocks[leaf] == 1)
             cells, rows, kinds = [leaf[simple] << 32], [row[simple]], [np.where(home[simple], 3, 1)]
             for r, at, h in zip(row[~simple].tolist(), leaf[~simple].tolist(), home[~simple].tolist()):
@@ -342,8 +366,18 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", version:
 
     routed = vecs.mapInArrow(routing, "cell bigint, kind tinyint, key binary, vec binary")
     found = routed.groupBy("cell").applyInArrow(searching, "key binary, near array<struct<far:float,key:binary>>")
-    merged = found.groupBy("key").agg(F.flatten(F.collect_list("near")).alias("near"))
-    merged = merged.select("key", F.transform(F.slice(F.array_sort("near"), 1, k), lambda x: x["key"]).alias("near"))
+
+    def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for hits in b.column(1).to_pylist():
+                best: dict[bytes, float] = {}
+                for h in (h for part in hits for h in part):
+                    best[h["key"]] = min(h["far"], best.get(h["key"], 9.0))
+                out.append([x for _, x in sorted((far, x) for x, far in best.items())[:k]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.binary()))], ["key", "near"])
+
+    merged = found.groupBy("key").agg(F.collect_list("near").alias("near")).mapInArrow(merging, "key binary, near array<binary>")
     if copies is not None:
         merged = merged.unionByName(copies)
     return merged.select(plain("key").alias(key), plain_list("near").alias("near"))
