@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import abuse, near_duplicates, packing, similar_vectors, splitting, tokens
+from corpusmill.llm import abuse, credentials, near_duplicates, packing, similar_vectors, splitting, tokens
 from corpusmill.sources.tables import table
 
 
@@ -26,6 +27,29 @@ def p2_groups_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.NearDuplicates(table(spark, sf_dir, "chunks"), weighted=True).groups()
 
 
+def _credentials(spark: SparkSession, sf_dir: str) -> tuple[credentials.Model, DataFrame, DataFrame]:
+    files, chunks = table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks")
+    return credentials.fit_model([(files, "path", "path"), (chunks, "id", "file_path")]), files, chunks
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, files, chunks = _credentials(spark, sf_dir)
+    of_files = credentials.find(files, model, "path", "scanned_at", "path")
+    of_chunks = credentials.find(chunks, model, "id", "indexed_at", "file_path")
+    both = of_files.withColumn("table_name", F.lit("files")).unionByName(of_chunks.withColumn("table_name", F.lit("chunks")))
+    return both.select("table_name", "record_key", "line_no")
+
+
+def p4_redacted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, files, _ = _credentials(spark, sf_dir)
+    return credentials.redacted(files, model, "path", "scanned_at", "path")
+
+
+def p4_redacted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, _, chunks = _credentials(spark, sf_dir)
+    return credentials.redacted(chunks, model, "id", "indexed_at", "file_path")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = splitting.split_records(table(spark, sf_dir, "chunks"))
     return pieces.select("id", "piece_no", "start_line", "end_line")
@@ -61,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p2_groups_weighted": p2_groups_weighted,
+    "p4_found": p4_found,
+    "p4_redacted_files": p4_redacted_files,
+    "p4_redacted_chunks": p4_redacted_chunks,
     "p5_found": p5_found,
     "p7_ids": p7_ids,
     "p8_bins": p8_bins,
