@@ -35,9 +35,12 @@ _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнαορνικτ",
 _HIDDEN = re.compile("[­​-‏⁠﻿]|[̀-ͯ]")
 _DIGITS = str.maketrans("013457@$!|", "oleastasii")
 _SPACED = re.compile(r"(?<![\w'])[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?![\w'])")
-_STARRED = re.compile(r"(?<=[^\W_])[*@$!#]+(?=[^\W_])|(?<=[^\W_])\${2,}")
+# the next two begin with rare characters, so that most of a text is skipped at the speed of a byte search
+_MAY_BE_SPACED = re.compile(r"[ .\-_*][^\W\d_][ .\-_*][^\W\d_][ .\-_*][^\W\d_](?![^\W_])")
+_STARRED = re.compile(r"[*@$!#](?<=[^\W_].)(?:[*@$!#]*(?=[^\W_])|(?<=\$)\$+)")
 _MIXED = re.compile(r"(?=[a-z]*[0-9])[a-z0-9]*[a-z][a-z0-9]*$")
 _WORD = re.compile(r"[^\W_]+")
+_PLAIN_WORD = re.compile(r"[a-z0-9ø]+")
 _WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
 _VOWELS = str.maketrans("", "", "aeiou")
 
@@ -54,12 +57,13 @@ def words(text: str) -> list[str]:
     if not plain:
         latin = text.translate(_LOOKALIKES)
         text = latin
-    if _SPACED.search(text):
+    if _MAY_BE_SPACED.search(text):
         text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
-    if "*" in text or "@" in text or "$" in text or "!" in text or "#" in text:
-        text = _STARRED.sub("ø", text)
+    text = _STARRED.sub("ø", text)
+    if plain:
+        return _PLAIN_WORD.findall(text)
     out = _WORD.findall(text)
-    if not plain and _WIDE.search(text):
+    if _WIDE.search(text):
         split: list[str] = []
         for w in out:
             if _WIDE.search(w):
@@ -140,6 +144,54 @@ def maximal_segments(score: list[float]) -> list[tuple[float, int, int]]:
 # ---------------------------------------------------------------- the model
 
 
+class _Numbers(dict):
+    """Number of each raw word: that of its folded form, 0 for those that are not in the lexicon."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self._known = known
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = self._known.get(folded(word), 0)
+        return out
+
+
+class Lexicon:
+    """Known words, numbered from 1, and known pairs of them, as sorted arrays."""
+
+    def __init__(self, ones: list[str], twos: list[tuple[str, str]]):
+        self.ones = ones
+        known = {w: i + 1 for i, w in enumerate(ones)}
+        self.numbers = _Numbers(known)
+        self.base = len(ones) + 1
+        keys = np.asarray([known[a] * self.base + known[b] for a, b in twos], np.int64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word numbers, positions in ``keys`` of the pair that each word ends, or -1; ends of the texts)."""
+        numbers = self.numbers
+        flat: list[int] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                flat += [numbers[w] for w in words(t)]
+            ends.append(len(flat))
+        a, at = np.asarray(flat, np.int64), np.asarray(ends)
+        pair = np.full(len(a), -1)
+        if len(a) > 1 and len(self.keys):
+            left = a[:-1].copy()
+            left[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(a))] - 1] = 0  # no pair across texts
+            both = np.flatnonzero((left > 0) & (a[1:] > 0))
+            key = left[both] * self.base + a[both + 1]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            pair[both[hit] + 1] = k[hit]
+        return a, pair, at
+
+
 @dataclass
 class Model:
     """Scores of words and of pairs of words, the parameters of the calibration, and the threshold."""
@@ -151,14 +203,17 @@ class Model:
     scale: float = 1.0
     least: float = 3.0
 
-    def scores(self, tokens: list[str]) -> list[float]:
-        one, two, rest = self.one.get, self.two.get, self.rest
-        t = [_folded[w] for w in tokens]
-        if not t:
-            return []
-        out = [one(t[0], rest)]
-        out += [one(b, rest) + two((a, b), 0.0) for a, b in zip(t, t[1:])]
-        return out
+    def prepare(self) -> None:
+        """Arrays for :meth:`score`; made where the model is used."""
+        twos = [p for p in self.two if p[0] in self.one and p[1] in self.one]
+        self.lexicon = Lexicon(list(self.one), twos)
+        self.w1 = np.r_[self.rest, [self.one[w] for w in self.lexicon.ones]]
+        self.w2 = np.r_[np.asarray([self.two[p] for p in twos], float)[self.lexicon.order], 0.0]
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(score of every token of all texts, ends of the texts)."""
+        a, pair, ends = self.lexicon.read(texts)
+        return self.w1[a] + self.w2[pair], ends
 
     def surprise(self, best: float, n: int) -> float:
         """-log10 of the chance that an ordinary text of ``n`` tokens has a segment this good."""
@@ -266,30 +321,26 @@ def judged_sample(df: DataFrame, labels: DataFrame, key: str, text: str, label:
 
 def corpus_counts(df: DataFrame, text: str, ones: list[str], twos: list[tuple[str, str]]) -> tuple[dict[str, int], dict[tuple[str, str], int], int]:
     """In how many of all texts each wanted word and pair occurs, and the sum over all words; every task sends one row for each that it saw."""
-    held = df.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(ones)}, {p: i for i, p in enumerate(twos)}))
+    held = df.sparkSession.sparkContext.broadcast((ones, twos))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = held.value
-        rest1, rest2 = len(one), len(two)
-        n1, n2 = np.zeros(rest1 + 1, np.int64), np.zeros(rest2 + 1, np.int64)
+        lexicon = Lexicon(*held.value)
+        n1, n2 = np.zeros(lexicon.base, np.int64), np.zeros(len(lexicon.keys) + 1, np.int64)
         for b in batches:
-            at1: list[int] = []
-            at2: list[int] = []
-            for t in b.column(0).to_pylist():
-                if t:
-                    f = [_folded[w] for w in words(t)]
-                    at1 += [one.get(w, rest1) for w in set(f)]
-                    at2 += [two.get(p, rest2) for p in set(zip(f, f[1:]))]
-            n1 += np.bincount(at1, minlength=rest1 + 1) if at1 else 0
-            n2 += np.bincount(at2, minlength=rest2 + 1) if at2 else 0
-        n = np.concatenate([n1, n2[:-1]])
+            a, pair, ends = lexicon.read(b.column(0).to_pylist())
+            doc = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            n1 += np.bincount(np.unique(doc * lexicon.base + a) % lexicon.base, minlength=lexicon.base)
+            n2 += np.bincount(np.unique(doc * len(n2) + pair + 1) % len(n2), minlength=len(n2))
+        by_pair = np.zeros(len(n2) - 1, np.int64)
+        by_pair[lexicon.order] = n2[1:]
+        n = np.concatenate([n1, by_pair])
         k = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], ["k", "n"])
 
     rows = df.select(F.col(text).alias("t")).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(len(ones) + 1 + len(twos), np.int64)
     n[rows["k"]] = rows["n"]
-    return dict(zip(ones, n.tolist())), dict(zip(twos, n[len(ones) + 1 :].tolist())), int(n[: len(ones) + 1].sum())
+    return dict(zip(ones, n[1:].tolist())), dict(zip(twos, n[len(ones) + 1 :].tolist())), int(n[: len(ones) + 1].sum())
 
 
 def fit_model(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "abusive") -> Model:
@@ -326,21 +377,15 @@ def score_documents(df: DataFrame, model: Model, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        m.prepare()
         for b in batches:
-            flat: list[float] = []
-            ends = [0]
-            for t in b.column(1).to_pylist():
-                if t:
-                    flat += m.scores(words(t))
-                ends.append(len(flat))
-            at = np.asarray(ends)
-            score = np.asarray(flat, float)
+            score, at = m.score(b.column(1).to_pylist())
             best = best_segments(score, at)
             n = np.diff(at)
             surprise = np.asarray([m.surprise(s, k) for s, k in zip(best.tolist(), n.tolist())], float)
             found = np.zeros(len(n), np.int32)
             for k in np.flatnonzero(surprise >= m.least):
-                found[k] = sum(m.surprise(s, int(n[k])) >= m.least for s, _, _ in maximal_segments(flat[at[k] : at[k + 1]]))
+                found[k] = sum(m.surprise(s, int(n[k])) >= m.least for s, _, _ in maximal_segments(score[at[k] : at[k + 1]].tolist()))
             new = [pa.array(surprise), pa.array(best), pa.array(found), pa.array(surprise >= m.least)]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *new], ["key", *kept, "score", "best", "passages", "flagged"])
 
