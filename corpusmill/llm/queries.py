@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import abuse, credentials, near_duplicates, packing, similar_vectors, splitting, tokens
+from corpusmill.llm import abuse, credentials, foreign_files, near_duplicates, packing, similar_vectors, splitting, tokens
 from corpusmill.sources.tables import table
 
 
@@ -27,6 +27,18 @@ def p2_groups_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.NearDuplicates(table(spark, sf_dir, "chunks"), weighted=True).groups()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_files.foreign(table(spark, sf_dir, "files")).select("path")
+
+
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_files.foreign(table(spark, sf_dir, "files"))
+
+
+def p3_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return foreign_files.hand_written(table(spark, sf_dir, "files"))
+
+
 def _credentials(spark: SparkSession, sf_dir: str) -> tuple[credentials.Model, DataFrame, DataFrame]:
     files, chunks = table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks")
     return credentials.fit_model([(files, "path", "path"), (chunks, "id", "file_path")]), files, chunks
@@ -85,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p2_groups_weighted": p2_groups_weighted,
+    "p3_found": p3_found,
+    "p3_kinds": p3_kinds,
+    "p3_hand_written": p3_hand_written,
     "p4_found": p4_found,
     "p4_redacted_files": p4_redacted_files,
     "p4_redacted_chunks": p4_redacted_chunks,
