@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import abuse, credentials, foreign_files, near_duplicates, packing, similar_vectors, splitting, tokens
+from corpusmill.llm import abuse, credentials, foreign_files, near_duplicates, packing, similar_vectors, splitting, syntax, tokens
 from corpusmill.sources.tables import table
 
 
@@ -67,6 +67,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("id", "piece_no", "start_line", "end_line")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.judged(table(spark, sf_dir, "files")).where("invalid").select("path")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(table(spark, sf_dir, "files"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -104,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_redacted_files": p4_redacted_files,
     "p4_redacted_chunks": p4_redacted_chunks,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_rates": p6_rates,
     "p7_ids": p7_ids,
     "p8_bins": p8_bins,
     "p9_found": p9_found,
