@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,6 +45,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder as a table, so that several reads prune columns and survive lost executors."""
+    at = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder, so that later reads survive lost executors."""
     shared_dir(df.sparkSession)
