@@ -33,7 +33,7 @@ ROUNDS = 4
 #: Letters of other scripts that look like Latin ones, and the reverse.
 _LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнαορνικτ", "aeopcyxijsdhkmtbhaopvikt")
 _HIDDEN = re.compile("[­​-‏⁠﻿]|[̀-ͯ]")
-_DIGITS = str.maketrans("013457@$!|", "oleastasii")
+_DIGITS = str.maketrans("013457@$!|", "oieastasii")
 _SPACED = re.compile(r"(?<![\w'])[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?![\w'])")
 # the next two begin with rare characters, so that most of a text is skipped at the speed of a byte search
 _MAY_BE_SPACED = re.compile(r"[ .\-_*][^\W\d_][ .\-_*][^\W\d_][ .\-_*][^\W\d_](?![^\W_])")

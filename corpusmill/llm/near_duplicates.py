@@ -90,7 +90,7 @@ def signatures(record: np.ndarray, feature: np.ndarray, weight: np.ndarray, n_re
     at = np.arange(len(record))
     while at.size:
         rows.append(record[at])
-        keys.append(mix(feature[at] + np.uint64(ring + 1) * _C1))
+        keys.append(mix(feature[at] + np.uint64((ring + 1) * int(_C1) & 0xFFFFFFFFFFFFFFFF)))
         rates.append(np.full(at.size, float(width)))
         shares.append(np.minimum(1.0, (weight[at] - low) / width))
         low, width, ring = low + width, max(1, low + width), ring + 1

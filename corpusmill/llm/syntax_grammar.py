@@ -43,6 +43,8 @@ class Grammar:
     illegal: str = "#`@\\"
     call_blocks: bool = True
     joins_strings: bool = False
+    #: Keywords that stand only inside a body.
+    inner: frozenset = frozenset()
 
 
 def _set(words: str) -> frozenset:
@@ -71,6 +73,7 @@ _GO = _set("break case chan const continue default defer else fallthrough for fu
 _RUST = _set(
     "as async await box break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct super trait type unsafe use where while yield macro_rules union"
 )
+_INNER = _set("return if for while switch break continue else")
 _PAREN = {x: _set("(") for x in "if while for switch".split()}
 
 GRAMMARS = {
@@ -89,20 +92,20 @@ GRAMMARS = {
     "java": Grammar(
         _JAVA, _set("sealed non-sealed record permits yield var module"), _set("permits when"), _set("if for while do switch return break continue throw try import package case"),
         _PAREN | {"catch": _set("("), "try": _set("{ ("), "finally": _set("{"), "class": _set("name"), "interface": _set("name"), "enum": _set("name"), "package": _set("name"), "import": _set("name static"), "extends": _set("name @"), "implements": _set("name @"), "throws": _set("name @"), "new": _set("name int long double float byte char short boolean @ <")},
-        first=_set("package import public class abstract final interface enum record @ ; sealed strictfp static private protected non"), types_first=True, angles=True, illegal="#`\\$",
+        first=_set("package import public class abstract final interface enum record @ ; sealed strictfp static private protected non"), inner=_INNER, types_first=True, angles=True, illegal="#`\\$",
     ),
     "c": Grammar(
         _C, frozenset(), frozenset(), _set("if for while do switch return break continue goto case typedef"), _PAREN | {"goto": _set("name"), "struct": _set("name {"), "union": _set("name {"), "enum": _set("name {")},
-        types_first=True, illegal="`@$", joins_strings=True,
+        types_first=True, illegal="`@$", joins_strings=True, inner=_INNER,
     ),
     "cpp": Grammar(
         _CPP, frozenset(), frozenset(), _set("if for while do switch return break continue goto case typedef using namespace"), {"while": _set("("), "for": _set("("), "switch": _set("("), "if": _set("( constexpr consteval !"), "catch": _set("("), "namespace": _set("name { ::"), "goto": _set("name")},
-        types_first=True, angles=True, illegal="`@$", joins_strings=True,
+        types_first=True, angles=True, illegal="`@$", joins_strings=True, inner=_INNER,
     ),
     "go": Grammar(
         _GO, frozenset(), frozenset(), _set("if for switch return break continue import package var type defer go func select"),
         {"package": _set("name"), "func": _set("name ("), "import": _set('"" ( name . _'), "type": _set("name ("), "else": _set("{ if"), "defer": _set("name func ("), "go": _set("name func (")},
-        first=_set("package"), controls=frozenset(), line_ends=True, types_first=True, illegal="#@$?\\",
+        first=_set("package"), inner=_INNER, controls=frozenset(), line_ends=True, types_first=True, illegal="#@$?\\",
     ),
     "rust": Grammar(
         _RUST, _set("dyn default auto raw safe"), frozenset(), _set("let fn use mod struct enum impl trait static return while loop pub"),
@@ -188,6 +191,8 @@ def fault(code: str, language: str) -> str | None:
             if kind == "op" and raw in _BINARY and (t in _CLOSING or t in _BINARY and t not in ("*", "**", "^") and not (raw == "*" and t in ("=", ","))):
                 if not (raw == "*" and (language in ("c", "cpp", "rust", "go") or t in (",", ")", ";", ">") and g.angles) or raw == "=" and t == ";" and language == "cpp" or raw in ("&&", "/") and language == "cpp" or raw in ("||", "|=") and language == "rust" or raw == "^" and t == "="):
                     return f"{raw} {t}"
+            if kind == "op" and raw in ("+", "-") and t in _CLOSING and language not in ("rust", "cpp"):
+                return f"{raw} {t}"
             if t == "," and kind == "op" and (raw in ("(", "{") or raw == "," and (inside != "[" or language not in ("javascript", "typescript"))):
                 if not (raw == "," and language == "go"):
                     return f"{raw} {t}"
@@ -197,6 +202,8 @@ def fault(code: str, language: str) -> str | None:
                 return f"{raw} {t}"
         if raw in (".",) and kind == "op" and k in ("number", "text"):
             return f"{raw} {t}"
+        if k == "key" and not stack and t in g.inner and not (kind == "op" and raw in (".", "::")):
+            return f"{t} outside a body"
         # what must follow a keyword
         if kind == "key":
             need = g.after.get(raw)

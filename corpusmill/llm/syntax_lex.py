@@ -164,7 +164,8 @@ class Summary:
         for s in states or lexicon.states:
             d = describe(text, s, lexicon)
             b = brackets(d.code)
-            out[s] = (d.state, not d.broken and b is not None, *(b or ("", "")))
+            ok = not d.broken and b is not None
+            out[s] = (d.state, ok, *(b if ok else ("", "")))  # once broken, brackets no longer matter
         return Summary(out)
 
     def then(self, other: Summary) -> Summary:
@@ -180,7 +181,7 @@ class Summary:
                     ok = ok and stack.pop() == _CLOSES[c]
                 else:
                     rest.append(c)
-            out[s] = (end, ok, closers + "".join(rest), "".join(stack) + openers2)
+            out[s] = (end, ok, closers + "".join(rest), "".join(stack) + openers2) if ok else (end, False, "", "")
         return Summary(out)
 
 
