@@ -27,8 +27,8 @@ from corpusmill.runtime import cut, ship
 from corpusmill.sources.tables import latest
 
 RUN, THRESHOLD = 4, 0.7
-#: 22 bands of 3 registers: at a similarity of 0.7 a pair is missed with probability 0.657 ** 22 = 0.0001.
-BANDS, ROWS = 22, 3
+#: 20 bands of 3 registers: at a similarity of 0.7 a pair is missed with probability 0.657 ** 20 = 0.0002.
+BANDS, ROWS = 20, 3
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
