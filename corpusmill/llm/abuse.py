@@ -27,6 +27,8 @@ JUDGED_MOST = 20_000
 #: Strength of the prior in tokens, what a token costs that says nothing, and the bounds of a score.
 PRIOR, DRIFT, LOWEST, HIGHEST = 300.0, 1.0, -2.0, 5.0
 ROUNDS = 4
+#: A text is flagged only if ordinary text has so bad a passage with a chance of at most 10 to the minus this.
+SIGNIFICANT = 2.0
 
 # ---------------------------------------------------------------- reading disguised spelling
 
@@ -246,6 +248,11 @@ def _log_odds(bad: np.ndarray, good: np.ndarray, prior: np.ndarray, tokens: floa
     return d * np.minimum(1, np.abs(z) / 2.5)
 
 
+def _judged_odds(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
+    """Log-odds of being in an abusive passage against being in a text judged innocent."""
+    return np.log((bad + 0.2) / (n_bad + 0.4)) - np.log((good + 0.2) / (n_good + 0.4))
+
+
 def fit(texts: list[list[str]], abusive: np.ndarray, ones_seen: dict[str, int], twos_seen: dict[tuple[str, str], int], tokens: int) -> Model:
     """A model from judged texts (as words), and in how many texts of the whole corpus words and pairs of words occur.
 
@@ -269,11 +276,16 @@ def fit(texts: list[list[str]], abusive: np.ndarray, ones_seen: dict[str, int],
     tokens = max(tokens, judged1.sum())
     prior1, prior2 = PRIOR * (all1 + 0.5) / tokens, PRIOR * (all2 + 0.5) / tokens
     inside = abusive[doc].astype(bool)
+    innocent = ~inside
+    neg1 = texts_with(a, innocent, len(ones))
+    neg2 = texts_with(b, innocent & has_two, max(1, len(twos)))[: len(twos)]
+    n_bad, n_good = float((abusive == 1).sum()), float((abusive == 0).sum())
     for _ in range(ROUNDS):
         in1 = texts_with(a, inside, len(ones))
         in2 = texts_with(b, inside & has_two, max(1, len(twos)))[: len(twos)]
-        w1 = np.clip(_log_odds(in1, all1 - in1, prior1, tokens), LOWEST, HIGHEST)
-        w2 = np.clip(_log_odds(in2, all2 - in2, prior2, tokens), LOWEST, HIGHEST) / 2
+        # a word must be rare in the corpus and rare in texts judged innocent
+        w1 = np.clip(np.minimum(_log_odds(in1, all1 - in1, prior1, tokens), _judged_odds(in1, neg1, n_bad, n_good)), LOWEST, HIGHEST)
+        w2 = np.clip(np.minimum(_log_odds(in2, all2 - in2, prior2, tokens), _judged_odds(in2, neg2, n_bad, n_good)), LOWEST, HIGHEST) / 2
         score = w1[a] - DRIFT + np.where(has_two, w2[b], 0)
         inside = np.zeros(len(a), bool)
         for k in np.flatnonzero(abusive):
@@ -303,7 +315,8 @@ def fit(texts: list[list[str]], abusive: np.ndarray, ones_seen: dict[str, int],
     at = int(np.argmax(f1))
     floor = surprise[order[at]]
     below = surprise[order[at + 1]] if at + 1 < len(order) else 0.0
-    model.least = float((floor + below) / 2)
+    # judged samples hold more abuse than the corpus, so the best cut there may be too low for it
+    model.least = max(float((floor + below) / 2), SIGNIFICANT)
     return model
 
 

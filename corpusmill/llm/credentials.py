@@ -253,7 +253,7 @@ def weak_label(p: Place, x: np.ndarray) -> int:
         return 0
     if p.kind == "words":
         symbols = bool(re.search(r"[^\w\s]", v[:-1])) and not re.search(r"[/()]", v)
-        return 1 if len(v) >= 8 and mixed and symbols else 0 if not re.search(r"\d", v) and not scrambled else -1
+        return 1 if len(v) >= 8 and mixed and symbols or scrambled else 0 if not re.search(r"\d", v) else -1
     if p.kind == "bare":
         return (-1 if scrambled else 0) if not mixed else 1 if re.search(r"[A-Z]", v) and re.search(r"[a-z]", v) and len(v) >= 10 and not re.search(r"[./(]", v) else -1
     return -1
