@@ -29,7 +29,7 @@ qs AS ({queries}),
 qt AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest({_tokens("query")}) AS token FROM qs) GROUP BY ALL),
 tf AS (SELECT id, dl, token, count(*) AS tf FROM (SELECT id, dl, unnest(tokens) AS token FROM dl) WHERE token IN (SELECT token FROM qt) GROUP BY ALL),
 sc AS (SELECT query_id, id, sum(times * idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM tf JOIN qt USING (token) JOIN idf USING (token), s GROUP BY query_id, id),
-kh AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0) WHERE rank <= {k})"""
+kh AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc WHERE score > 0) WHERE rank <= {k})"""
 
 
 _ONE = f"SELECT 0 AS query_id, '{WORDS}' AS query"
@@ -44,7 +44,7 @@ def _nearest(metric: str, where: str = "true") -> str:
     else:
         value, name, far = f"list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a})) / sqrt(list_dot_product({b}, {b}))", "similarity", "-value"
     return f"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, {value} AS value FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND {where}),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {far}, vec_id) AS rank FROM p)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({far}, 9), vec_id) AS rank FROM p)
 SELECT query_id, vec_id, round(value, 6) AS {name}, rank FROM r WHERE rank <= 10"""
 
 
@@ -57,11 +57,11 @@ def _hybrid(queries: str, seeds: int, nearness: str = "-distance") -> str:
 seeds AS (SELECT row_number() OVER (ORDER BY id) - 1 AS number, v AS vector FROM (SELECT * FROM u ORDER BY id LIMIT {seeds})),
 {_bm25("c", "id", "content", queries)},
 vd AS (SELECT qs.query_id, u.id, list_sum(list_transform(list_zip(qs.vector, u.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM qs, u),
-vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM vd) WHERE rank <= 10),
+vh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank FROM vd) WHERE rank <= 10),
 vn AS (SELECT query_id, id, CASE WHEN max(s) OVER w = min(s) OVER w THEN 0.5 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS v FROM (SELECT query_id, id, {nearness} AS s FROM vh) WINDOW w AS (PARTITION BY query_id)),
 bn AS (SELECT query_id, id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 0.5 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS b FROM kh WINDOW w AS (PARTITION BY query_id)),
 fo AS (SELECT query_id, id, 0.6 * coalesce(v, 0) + 0.4 * coalesce(b, 0) AS score, coalesce(v, 0) AS vector_score, coalesce(b, 0) AS bm25_score, concat_ws('+', CASE WHEN v IS NOT NULL THEN 'vector' END, CASE WHEN b IS NOT NULL THEN 'bm25' END) AS search_types FROM vn FULL OUTER JOIN bn USING (query_id, id)),
-fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fo) WHERE rank <= 10)"""
+fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM fo) WHERE rank <= 10)"""
 
 
 _ONE_VECTOR = f"SELECT number AS query_id, '{QUERY}' AS query, vector FROM seeds"
@@ -162,11 +162,11 @@ SELECT e.*, coalesce(s.properties, '') AS properties FROM e LEFT JOIN s USING (s
     "prefix_delete": f"WITH {EDGES}, {NODES}, g AS (SELECT id FROM n WHERE starts_with(coalesce(file_path, id), '{PREFIX}') OR starts_with(id, '{PREFIX}')) SELECT 'node' AS kind, id FROM n WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'edge', source_id || '>' || target_id || '>' || relationship_type FROM e WHERE source_id NOT IN (SELECT id FROM g) AND target_id NOT IN (SELECT id FROM g)",
     "graph_enhance": _H + f", {_AROUND}, ec AS (SELECT start, count(*) AS k FROM he GROUP BY 1), fn AS (SELECT start, string_agg(string_split(id, '::')[-1], ',' ORDER BY string_split(id, '::')[-1], id) AS names FROM near WHERE type = 'Function' GROUP BY 1) SELECT fu.id, coalesce(n_nodes, 0) AS related_nodes, coalesce(ec.k, 0) AS related_edges, coalesce(names, '') AS related_functions FROM fu LEFT JOIN nn ON nn.start = fu.id LEFT JOIN ec ON ec.start = fu.id LEFT JOIN fn ON fn.start = fu.id",
     "rerank_features": _H + f", {_AROUND} SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in WEIGHTS) + " FROM ft",
-    "graph_rerank": _H + f", {_AROUND}, g AS (SELECT id, score, {_SCORE} AS g FROM ft), z AS (SELECT id, CASE WHEN g > 0.5 THEN 0.6 * score + 0.4 * g ELSE 0.8 * score + 0.2 * g END AS score, g FROM g) SELECT id, round(score, 6) AS score, round(g, 6) AS graph_score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM z",
+    "graph_rerank": _H + f", {_AROUND}, g AS (SELECT id, score, {_SCORE} AS g FROM ft), z AS (SELECT id, CASE WHEN g > 0.5 THEN 0.6 * score + 0.4 * g ELSE 0.8 * score + 0.2 * g END AS score, g FROM g) SELECT id, round(score, 6) AS score, round(g, 6) AS graph_score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM z",
     "conflict_detection": _H + f", {_CONFLICTS} SELECT id, conflict, vector_rank, bm25_rank FROM cf WHERE conflict IS NOT NULL",
     "conflict_resolution": _H + f""", {_CONFLICTS}, a AS (SELECT id, avg(score) AS score FROM (SELECT id, distance AS score FROM vh UNION ALL SELECT id, score FROM kh) GROUP BY id),
 z AS (SELECT a.id, a.score * CASE WHEN conflict IS NULL THEN 1 ELSE 0.8 END AS score, CASE WHEN (SELECT count(conflict) FROM cf) > 0 THEN 'resolved' ELSE 'combined' END AS search_type, conflict IS NOT NULL AS resolved FROM a JOIN cf USING (id)),
-r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM z) SELECT id, round(score, 6) AS score, search_type, resolved, rank FROM r WHERE rank <= 10""",
+r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM z) SELECT id, round(score, 6) AS score, search_type, resolved, rank FROM r WHERE rank <= 10""",
     "stream_event_windows": _EVENTS,
     "batch_event_windows": _EVENTS,
     "stream_latest_chunks": f"WITH {CHUNKS} SELECT id, file_path, language, indexed_at FROM c",
