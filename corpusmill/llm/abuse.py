@@ -33,7 +33,8 @@ SIGNIFICANT = 2.0
 # ---------------------------------------------------------------- reading disguised spelling
 
 #: Letters of other scripts that look like Latin ones, and the reverse.
-_LOOKALIKES = str.maketrans("аеорсухіјѕԁһкмтвнαορνικτ", "aeopcyxijsdhkmtbhaopvikt")
+_LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнαορνικτ", "aeopcyxijsdhkmtbhaopvikt"))
+_LOOKALIKE = re.compile(f"[{''.join(_LOOKALIKES)}]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]|[̀-ͯ]")
 _DIGITS = str.maketrans("013457@$!|", "oieastasii")
 _SPACED = re.compile(r"(?<![\w'])[^\W\d_](?:[ .\-_*][^\W\d_]){3,}(?![\w'])")
@@ -57,8 +58,7 @@ def words(text: str) -> list[str]:
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     text = text.lower()
     if not plain:
-        latin = text.translate(_LOOKALIKES)
-        text = latin
+        text = _LOOKALIKE.sub(lambda m: _LOOKALIKES[m[0]], text)
     if _MAY_BE_SPACED.search(text):
         text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text)
     text = _STARRED.sub("ø", text)
