@@ -1,11 +1,13 @@
 """Credentials embedded in source code and configuration (problem 4).
 
 Places that can hold one are found by shape: values given to names that speak of secrets, log-in data
-of addresses, private key blocks, authorization headers, tagged tokens, words of comments about log-ins. A logistic
+of addresses and commands, private key blocks, authorization headers, tagged tokens, words of comments about log-ins,
+and, whatever they are called, quoted words, arguments after a user name and bare words of assignments. A logistic
 regression then weighs how unlike ordinary text the characters of the value are (a Markov model of the
 characters of the whole corpus), what the identifiers around it say, and where the file lies. It is
 fitted on a bounded sample of places whose pattern leaves little doubt, and its scores are calibrated
-on places held out of the fit. Redaction replaces only the characters of the value.
+on places held out of the fit. Places without a telling name have a regression of their own, which learns from the
+values of the others how credentials look and from the sampled words how often they are none. Redaction replaces only the characters of the value.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,8 @@ _SPEAKS = re.compile(
     r"passw|pwd|secret|token|api_?-?key|credential|auth|bearer|kennwort|passphrase|mot_?de_?passe|contrase|"
     r"(?:access|private|signing|client|encryption|master|account|shared|service|storage)_?-?key|(?<![a-z])pass(?![a-z])|(?<![a-z])pw(?![a-z])|creds(?![a-z])|login|senha|wachtwoord"
 )
+#: Short endings of names whose beginning shows only in the original case or not at all: adminPw, TABLEPASS, dbpass.
+_ENDING = re.compile(r"(?<=[a-z0-9])(?:Pw|PW|Pass|PASS)(?![a-z])|(?<=[A-Z])(?<!COM)(?<!BY)(?<!TRES)(?<!SUR)(?:PW|PASS)(?![A-Za-z])|(?<=[a-z])(?<![Cc]om)(?<![Bb]y)(?<![Tt]res)(?<![Ss]ur)(?:pw|pass)(?![A-Za-z])")
 _REST_OF_NAME = re.compile(r"[\w\-]*[\"'\]]*\s*(?::\s*[&\w<>'\[\] ]{1,24}?)?\s*(?::=|=>|(?<![=!<>])=(?!=)|:(?!:))[ \t]*")
 _WRAPPED = re.compile(r"(?:[\w.!:]*[(\[]\s*){0,2}")
 _LITERAL = re.compile(r'[rbfuRBFU]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|\'(?P<d>(?:[^\'\\\n]|\\.)*)\'|`(?P<e>[^`]*)`)', re.S)
@@ -44,10 +50,21 @@ _ADDRESS = re.compile(r"://[^\s/:@\"'`<>]{1,64}:([^\s/@\"'`<>]{2,120})@")
 _HEADER = re.compile(r"\b(?:basic|bearer|token)[ \t]+([A-Za-z0-9+/=._~\-]{8,400})", re.I)
 _KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
-_LONG = re.compile(r"[\"'`=]([A-Za-z0-9][A-Za-z0-9_\-.~+/=]{14,400})(?=[\"'`;\s,)<]|$)")
+_LONG = re.compile(r"(?:[\"'`=]|:[ \t]+)([A-Za-z0-9][A-Za-z0-9_\-.~+/=]{14,400})(?=[\"'`;\s,)<]|$)")
+_USER = re.compile(r"(?<![\w\-])(?:-u|-U|--user|--proxy-user)(?:[ \t]+|=)?[\"']?[\w.@\\\-]+:([^\s\"'`<>]{4,})")
+_QUOTED = re.compile(r"\"((?:[^\"\\\s]|\\\S){6,})\"|'((?:[^'\\\s]|\\\S){6,})'|`([^`\s]{6,})`")
+_AFTER_USER = re.compile(r"\w[ \t]*\((?:[^()\n]*,)?[ \t]*[rbfuRBFU]?[\"'`][\w.@\-]{2,}[\"'`][ \t]*,[ \t]*[rbfuRBFU]?$")
+_GIVEN = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?[\w.\-]+[ \t]*(?:=|:[ \t])[ \t]*([^\s\"'`,;&|<>(){}\[\]$]{6,})[ \t]*\r?$", re.M)
+#: Words of code that are no credentials: addresses, paths, patterns, formats, digests, versions, dates, types, colours, own keys.
+_DATA = re.compile(
+    r"^[a-z][\w+.\-]*://|^\.{0,2}/|^(?:[a-z0-9_.\-]+|[A-Z][a-z]+)(?:/(?:[a-z0-9_.\-]+|[A-Z][a-z]+))+(?:;|$)|%[-\d.]*[a-zA-Z]\b|^[%^$.#&?]\S*[\\\[\](){}]|^[\[(]|^[~^]?v?\d+(?:\.[\w*]+)+(?:[\-+][\w.]+)*$|"
+    r"^\d{4}-\d\d|^#[0-9a-fA-F]{3,8}$|^[\w.\-]+@[\w.\-]+\.\w+$|^[A-Za-z]?[a-z]*(?:[A-Z][a-z]+|[._:\-][A-Za-z]?[a-z]+)*\d{0,3}$|^[A-Z][A-Z_]*\d{0,3}$|^[a-z]{1,6}[\-_:][0-9a-f]{4,}$|;\w+=|^&\w+;|^[\d.,:+\-_/%]+\w{0,3}$"
+)
+_KEY = re.compile(r"[ \t]*:(?!:)")
+_ID = re.compile(r"(?:^|[\W_])id\W*$|[a-z]I[dD]\W*$|(?:^|[\W_])ID\W*$")
 _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|<!--|;|%)")
 #: Beginnings by which services mark their tokens, in general form and the public well-known ones.
-_TAGGED = re.compile(r"^(?:gh[a-z]_[A-Za-z0-9]{16,}|github_pat_\w{16,}|glpat-[\w\-]{12,}|xox[a-z]-[\w\-]{12,}|[a-z]{2}_[a-z]{3,5}_[A-Za-z0-9]{12,}|A[KS]IA[A-Z0-9]{12,}|AIza[\w\-]{20,}|SG\.[\w\-]{8,}\.[\w\-]{8,}|eyJ[\w\-]{6,}\.[\w\-]{6,}\.[\w\-]*|npm_[A-Za-z0-9]{16,}|pypi-[\w\-]{16,}|sk-[\w\-]{16,}|[sw]k_[a-z]+_[A-Za-z0-9]{8,}|ya29\.[\w\-]{16,}|dop_v1_[a-f0-9]{16,})")
+_TAGGED = re.compile(r"^(?:gh[a-z]_[A-Za-z0-9]{16,}|github_pat_\w{16,}|glpat-[\w\-]{12,}|xox[a-z]-[\w\-]{12,}|[a-z]{2,12}_[a-z]{2,8}_(?=[A-Za-z]*\d)(?=[a-z0-9]*[A-Z])[A-Za-z0-9]{12,}|A[KS]IA[A-Z0-9]{12,}|AIza[\w\-]{20,}|SG\.[\w\-]{8,}\.[\w\-]{8,}|eyJ[\w\-]{6,}\.[\w\-]{6,}\.[\w\-]*|npm_[A-Za-z0-9]{16,}|pypi-[\w\-]{16,}|sk-[\w\-]{16,}|[sw]k_[a-z]+_[A-Za-z0-9]{8,}|ya29\.[\w\-]{16,}|dop_v1_[a-f0-9]{16,})")
 _PLACEHOLDER = re.compile(
     r"^\s*$|^[x*.\-_#?0]+$|^<.*>?$|^\$?\{.*|^\$[A-Za-z_(]|^%\w+%$|change_?-?me|replace|placeholder|your[_\- ]|^your|example|dummy|redacted|set-?me|insert|todo|^n/?a$|^none$|^null$|^nil$|^true$|^false$|^undefined$|^test$|^vault:|^env[:.]|^secret:|^ssm:|^arn:|^file:|^op://|^ref:|^keychain",
     re.I,
@@ -61,7 +78,9 @@ _FROM_STORE = re.compile(r"environ|getenv|env[.\[(]|process\.|vault|secretsmanag
 _CONFIG_PATH = re.compile(r"\.(?:ya?ml|json|toml|ini|cfg|conf|properties|env|sh|tf|md|txt)$", re.I)
 _TEST_PATH = re.compile(r"(?:^|/)(?:tests?|spec|examples?|docs?|fixtures?|samples?)/", re.I)
 
-KINDS = ("literal", "bare", "call", "address", "header", "block", "tagged", "words")
+KINDS = ("literal", "bare", "call", "address", "header", "block", "tagged", "words", "user", "argument", "value", "given")
+#: Kinds whose place says nothing of secrets.
+UNNAMED = KINDS[9:]
 
 
 @dataclass
@@ -75,6 +94,10 @@ class Place:
     before: str
 
 
+def speaks(name: str) -> bool:
+    return bool(_SPEAKS.search(name.lower()) or _ENDING.search(name))
+
+
 def _literals(text: str, at: int, joint: re.Pattern) -> list[tuple[int, int]]:
     """Spans inside the quotes of the literal at ``at`` and of those joined to it."""
     out: list[tuple[int, int]] = []
@@ -109,7 +132,9 @@ def places(text: str) -> list[Place]:
         for m in _ADDRESS.finditer(text):
             add("address", [m.span(1)], "password", "")
     closed = [(p.parts[0][0], p.parts[-1][1]) for p in found.values() if p.kind == "block"]
-    for m in _SPEAKS.finditer(low):
+    for m in _USER.finditer(text):
+        add("user", [m.span(1)], "password", "")
+    for m in chain(_SPEAKS.finditer(low), _ENDING.finditer(text)):
         start = m.start()
         while start and (text[start - 1].isalnum() or text[start - 1] in "_-"):
             start -= 1
@@ -159,6 +184,23 @@ def places(text: str) -> list[Place]:
             if len(joined) > 1 and _TAGGED.match("".join(text[x:y] for x, y in joined)):
                 line_start = text.rfind("\n", 0, m.start()) + 1
                 add("tagged", joined, text[line_start : m.start()][-60:], "")
+    # whatever its name: every quoted word and every bare word of an assignment that is no part of a place above
+    covered = sorted(ab for p in found.values() for ab in p.parts)
+    starts = [a for a, _ in covered]
+    for m in chain(_QUOTED.finditer(text), _GIVEN.finditer(text)):
+        a, z = m.span(m.lastindex)
+        i = bisect_right(starts, z - 1)
+        if i and covered[i - 1][1] > a:
+            continue
+        line_start = max(text.rfind("\n", 0, a) + 1, a - 200)
+        before = text[line_start : m.start()]
+        if m.re is _GIVEN:
+            add("given", [(a, z)], text[m.start() : a][-60:], "")
+        elif _AFTER_USER.search(before):
+            add("argument", [(a, z)], before[-60:], "")
+        elif (before.strip() or text[m.end() : m.end() + 1] != ",") and not _KEY.match(text, m.end()):  # a line of a list of literals is data
+            parts = _literals(text, m.start(), _JOINT)
+            add("value", parts if len(parts) > 1 else [(a, z)], before[-60:], before[-60:])
     out = []
     for at in sorted(found):
         p = found[at]
@@ -169,7 +211,9 @@ def places(text: str) -> list[Place]:
 
 # ---------------------------------------------------------------- features
 
-N_FEATURES = 28
+N_FEATURES = 33
+#: Where the kinds stand among the features: those of the first eight in front, the others at the end.
+_KIND_AT = {k: i if i < 8 else 20 + i for i, k in enumerate(KINDS)}
 
 
 def surprise(value: bytes, table: np.ndarray) -> float:
@@ -204,7 +248,7 @@ def features(p: Place, path: str, table: np.ndarray) -> np.ndarray:
     lowers = sum(k[0] for k in kinds) / n
     turns = sum(a != b for a, b in zip(kinds, kinds[1:])) / n
     x = np.zeros(N_FEATURES)
-    x[KINDS.index(p.kind)] = 1
+    x[_KIND_AT[p.kind]] = 1
     name = p.name
     s = surprise(v.encode("utf-8", "replace"), table)
     x[8:28] = [
@@ -216,7 +260,7 @@ def features(p: Place, path: str, table: np.ndarray) -> np.ndarray:
         uppers,
         1 - digits - uppers - lowers,
         turns,
-        float(bool(_SPEAKS.search(name.lower()))),
+        float(speaks(name)),
         float(bool(_ABOUT_NAME.search(name))),
         float(bool(_HARMLESS_NAME.search(name))),
         float(bool(_FROM_STORE.search(p.before))),
@@ -229,6 +273,7 @@ def features(p: Place, path: str, table: np.ndarray) -> np.ndarray:
         float(bool(_CONFIG_PATH.search(path))),
         float(bool(_TEST_PATH.search(path))),
     ]
+    x[32] = float(p.kind in UNNAMED and bool(_DATA.search(v) or _ID.search(name)))
     return x
 
 
@@ -243,7 +288,7 @@ def weak_label(p: Place, x: np.ndarray) -> int:
         return 0
     mixed = bool(re.search(r"[A-Za-z]", v) and re.search(r"\d", v))
     scrambled = len(v) >= 10 and x[15] > 0.35 and v.isalnum() and x[13] > 0.15
-    if p.kind == "address":
+    if p.kind in ("address", "user"):
         return 1 if mixed or scrambled else -1
     if x[25]:
         return 1
@@ -251,6 +296,10 @@ def weak_label(p: Place, x: np.ndarray) -> int:
         return 1
     if x[18] and x[22]:
         return 0
+    if p.kind == "argument":
+        return 0 if x[32] or not mixed else 1 if len(v) >= 8 and re.search(r"[^\w.]", v) or scrambled else -1
+    if p.kind in UNNAMED:
+        return 0
     if p.kind == "words":
         symbols = bool(re.search(r"[^\w\s]", v[:-1])) and not re.search(r"[/()]", v)
         return 1 if len(v) >= 8 and mixed and symbols or scrambled else 0 if not re.search(r"\d", v) else -1
@@ -259,15 +308,15 @@ def weak_label(p: Place, x: np.ndarray) -> int:
     return -1
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Weights of a logistic regression, both classes weighing the same."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, even: bool = True) -> np.ndarray:
+    """Weights of a logistic regression, both classes weighing the same if ``even``."""
     if not len(y) or y.min() == y.max():
         w = np.zeros(N_FEATURES)
         w[8] = -1.0
         w[[5, 6, 3, 25]] = 4.0
         w[[20, 21]] = -6.0
         return w
-    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if even else np.ones(len(y))
     w = np.zeros(x.shape[1])
     for _ in range(rounds):  # Newton steps with a little shrinkage
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -298,15 +347,47 @@ class Model:
     weights: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    #: The same of the places without a telling name; none are found without weights.
+    unnamed: np.ndarray | None = None
+    unnamed_slope: float = 1.0
+    unnamed_shift: float = 0.0
+
+    @classmethod
+    def of(cls, table: np.ndarray, sampled: list[tuple[Place, str]]) -> Model:
+        """Fitted on (place, path) of a sample."""
+        xs, ys, known, other, judged = [], [], [], [], []
+        for p, path in sampled:
+            x = features(p, path, table)
+            y = weak_label(p, x)
+            if y < 0:
+                continue
+            if p.kind in UNNAMED:
+                other.append(x)
+                judged.append(y)
+                continue
+            xs.append(x)
+            ys.append(y)
+            if y and p.kind in ("literal", "call", "address", "user", "bare"):
+                known.append(features(Place("value", bare_value(p), [], "", ""), path, table))
+        parts = []
+        for a, b, even in ((xs, ys, True), (other + known, judged + [1] * len(known), False)):
+            x, y = np.asarray(a).reshape(-1, N_FEATURES), np.asarray(b)
+            held = np.arange(len(y)) % 5 == 0
+            w = fit(x[~held], y[~held], even=even)
+            parts += [w, *calibrate(x[held] @ w, y[held])]
+        return cls(table, *parts)
 
     def found(self, text: str, path: str, least: float = LEAST) -> list[tuple[Place, float]]:
         """The places of a content at or above the least score."""
         out = []
         for p in places(text):
             x = features(p, path, self.table)
-            if x[20] or x[23] and p.kind != "block":
+            if x[20] or x[23] and p.kind != "block" or p.kind in UNNAMED and (x[22] or x[32]):
+                continue  # placeholders, and digests, ids and the like of no telling name
+            w, slope, shift = (self.unnamed, self.unnamed_slope, self.unnamed_shift) if p.kind in UNNAMED else (self.weights, self.slope, self.shift)
+            if w is None:
                 continue
-            s = 1 / (1 + np.exp(-np.clip(self.slope * float(x @ self.weights) + self.shift, -30, 30)))
+            s = 1 / (1 + np.exp(-np.clip(slope * float(x @ w) + shift, -30, 30)))
             if s >= least:
                 out.append((p, float(s)))
         return out
@@ -352,6 +433,8 @@ def fit_model(tables: list[tuple[DataFrame, str, str]], content: str = "content"
             kind, value, name, before, path = [], [], [], [], []
             for text, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for p in places(text or ""):
+                    if p.kind in ("value", "given") and crc32(p.value.encode("utf-8", "replace")) % 4:
+                        continue  # a fourth of the plain words is enough to learn from
                     kind.append(p.kind)
                     value.append(p.value[:400])
                     name.append(p.name)
@@ -373,19 +456,7 @@ def fit_model(tables: list[tuple[DataFrame, str, str]], content: str = "content"
         n[r.k] += r.n
     n = n.reshape(256, 256)
     table = np.log(n / n.sum(1, keepdims=True))
-    xs, ys = [], []
-    for r in sorted(sampled.distinct().collect()):
-        p = Place(r.kind, r.value, [], r.name, r.before)
-        x = features(p, r.path, table)
-        y = weak_label(p, x)
-        if y >= 0:
-            xs.append(x)
-            ys.append(y)
-    x, y = np.asarray(xs).reshape(-1, N_FEATURES), np.asarray(ys)
-    held = np.arange(len(y)) % 5 == 0
-    w = fit(x[~held], y[~held])
-    slope, shift = calibrate(x[held] @ w, y[held])
-    return Model(table, w, slope, shift)
+    return Model.of(table, [(Place(r.kind, r.value, [], r.name, r.before), r.path) for r in sorted(sampled.distinct().collect())])
 
 
 def find(df: DataFrame, model: Model, key: str, version: str, path: str, content: str = "content") -> DataFrame:

@@ -72,6 +72,20 @@ def test_credentials(spark):
     assert cr.find(df.limit(0), cr.fit_model([(df.limit(0), "path", "path")]), "path", "scanned_at", "path").count() == 0
 
 
+UNNAMED = [
+    "curl -s -u svc_peer:kvCN_n0zzl3~QrS5e https://jigsaw.example/beacon", 'const adminPw = "meadow-puls3-6283";', 'const stageAdminPw = "Track8640!";', 'const TABLEPASS = "Probe7691?";',
+    'station.signIn("svc_caravan", "Plugin8488%")', 'worker.connect("svc_tunnel", "Watcher8673?");', 'mosaic_x1 = "qvk_prod_9bk3CdYQJng11oBHde2A6xxiCDoG"', 'plain = "Quarry3822?x"', "level: Tr4ck8640!x",
+]
+ORDINARY = ['encoding = "utf-8"', 'built_from = "0fe366affe7314a6983d49ecf1f9fbac58dece43"', 'SIGNED_COMPASS = [', '"STAGE_ADMIN_PW": "changeme"', 'import x from "./cache/ring";', 'name = "WarmIdlePulse.op9"', 'f = "%Y-%m-%d"', 'size("primary", "#FFaa00")', 'id = "req_9sdF8aKq2LmZ"']
+
+
+def test_credentials_without_a_telling_name(spark):
+    filler = [(f"f{i}.py", "python", HAND + f'password = "{w}{i * 37}{"!#?%"[i % 4]}"\nname_{i} = "plain_words"\nname = "Pulse.op{i}"\nfrom_ = "./{w}/{i}"\nmode = "read-{w}"\n') for i, w in enumerate(["Winter", "Lantern", "Bucket", "Vector", "Harbor"] * 40)]
+    df = files(spark, ("a.sh", "shell", "\n".join(UNNAMED + ORDINARY)), *filler)
+    model = cr.fit_model([(df, "path", "path")])
+    assert {r.line_no for r in cr.find(df.where("path = 'a.sh'"), model, "path", "scanned_at", "path").collect()} == set(range(1, len(UNNAMED) + 1))
+
+
 VALID = {
     "javascript": ['import { a } from "./b";\nexport class C extends D {\n  get x() { return this.y ? `t${1}` : [1, , 2]; }\n  static async f(a, ...b) { for (const c of a) { await c(); } }\n}\nconst r = /["(]/.test(a) ? { a, "b": 1, f() { return 2 } } : (x) => ({ x });\nif (a) b(); else if (c) { d() } else { e() }\ntry { f() } catch { g() } finally { h() }\n', "a\n  .b()\n  .c;\nlet x = a ? b : c\nx++\ny--\n!function(f){f.a=1}(g);\n"],
     "typescript": ['import type { A } from "./a";\nexport interface B<T> extends A { x?: number; readonly y: Array<T>; }\nenum E { A = 1, B }\nexport function f<T>(a: T, b?: string): Promise<T[]> { return g(a as any) satisfies any; }\nabstract class C implements B<number> { private x: number = 1; constructor(public y: string) { super(); } }\ntype F = (a: number) => void;\n'],
