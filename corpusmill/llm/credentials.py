@@ -17,6 +17,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import chain
 from zlib import crc32
 
@@ -44,13 +45,18 @@ _WRAPPED = re.compile(r"(?:[\w.!:]*[(\[]\s*){0,2}")
 _LITERAL = re.compile(r'[rbfuRBFU]{0,2}(?:"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|\'(?P<d>(?:[^\'\\\n]|\\.)*)\'|`(?P<e>[^`]*)`)', re.S)
 _JOINT = re.compile(r"\s*(?:\+|\.\.?|\\)?\s*")
 _LIST_JOINT = re.compile(r"\s*[,+]?\s*")
-_BARE = re.compile(r"[^\s\"'`,;&<>(){}\[\]]{4,200}")
+_BARE = re.compile(r"[^\s\"'`,;&<>(){}\[\]]{4,}")
 _CALL = re.compile(r"\w*\(\s*")
-_ADDRESS = re.compile(r"://[^\s/:@\"'`<>]{1,64}:([^\s/@\"'`<>]{2,120})@")
-_HEADER = re.compile(r"\b(?:basic|bearer|token)[ \t]+([A-Za-z0-9+/=._~\-]{8,400})", re.I)
+_ADDRESS = re.compile(r"://[^\s/:@\"'`<>]+:([^\s/@\"'`<>]{2,})@")
+_HEADER = re.compile(r"\b(?:basic|bearer|token)[ \t]+([A-Za-z0-9+/=._~\-]{8,})", re.I)
 _KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
-_LONG = re.compile(r"(?:[\"'`=]|:[ \t]+)([A-Za-z0-9][A-Za-z0-9_\-.~+/=]{14,400})(?=[\"'`;\s,)<]|$)")
+#: What follows the BEGIN of a block without END: lines of base64, the last of which may be short.
+_KEY_LINES = re.compile(
+    r"(?:[\s\"'`+,.;)]|\\[nr]?)*(?:(?:Proc-Type|DEK-Info|Version|Comment): [^\n\"'\\]*(?:[\s\"'`+,.;)]|\\[nr]?)*)*"
+    r"(?:[A-Za-z0-9+/=]{16,}+(?:[\s\"'`+,.;)]|\\[nr]?)*+)?(?:[A-Za-z0-9+/=]{40,}+(?:[\s\"'`+,.;)]|\\[nr]?)*+)*+(?:(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/]{4,}={0,2}(?=[\s\"'`\\]|$))?"
+)
+_LONG = re.compile(r"(?:[\"'`=]|:[ \t]+)([A-Za-z0-9][A-Za-z0-9_\-.~+/=]{14,})")
 _USER = re.compile(r"(?<![\w\-])(?:-u|-U|--user|--proxy-user)(?:[ \t]+|=)?[\"']?[\w.@\\\-]+:([^\s\"'`<>]{4,})")
 _QUOTED = re.compile(r"\"((?:[^\"\\\s]|\\\S){6,})\"|'((?:[^'\\\s]|\\\S){6,})'|`([^`\s]{6,})`")
 _AFTER_USER = re.compile(r"\w[ \t]*\((?:[^()\n]*,)?[ \t]*[rbfuRBFU]?[\"'`][\w.@\-]{2,}[\"'`][ \t]*,[ \t]*[rbfuRBFU]?$")
@@ -101,10 +107,7 @@ def speaks(name: str) -> bool:
 def _literals(text: str, at: int, joint: re.Pattern) -> list[tuple[int, int]]:
     """Spans inside the quotes of the literal at ``at`` and of those joined to it."""
     out: list[tuple[int, int]] = []
-    while len(out) < 64:
-        m = _LITERAL.match(text, at)
-        if not m:
-            break
+    while m := _LITERAL.match(text, at):
         out.append(m.span(m.lastgroup))
         at = joint.match(text, m.end()).end()
     return out
@@ -121,9 +124,10 @@ def places(text: str) -> list[Place]:
             found[parts[0][0]] = Place(kind, value, parts, name, before)
 
     if "private key" in low:
-        for m in _KEY_BLOCK.finditer(text):
-            end = _KEY_END.search(text, m.end())
-            stop = end.start() if end and end.start() - m.end() < 20_000 else min(len(text), m.end() + 4000)
+        blocks = list(_KEY_BLOCK.finditer(text))
+        for m, following in zip(blocks, [b.start() for b in blocks[1:]] + [len(text)]):
+            end = _KEY_END.search(text, m.end(), following)
+            stop = end.start() if end else _KEY_LINES.match(text, m.end(), following).end()
             body = text[m.end() : stop]
             solid = re.sub(r"\\[nr]|[\s\"'+,.;)\\]", "", body)
             if len(solid) >= 16 and not _PLACEHOLDER.search(solid[:40]) and re.match(r"[A-Za-z0-9+/=:\-]{16}", solid):
@@ -168,8 +172,12 @@ def places(text: str) -> list[Place]:
                     add("words", [(a, z)], text[line_start : m.end()][-40:], "")
     for m in _HEADER.finditer(text):
         add("header", [m.span(1)], text[m.start() : m.start(1)], "")
+    joined_to = 0
     for m in _LONG.finditer(text):
         value = m[1]
+        after = text[m.end() : m.end() + 1]
+        if after and after not in "\"'`;,)<" and not after.isspace():
+            continue
         if _TAGGED.match(value):
             a = m.start(1)
             parts = [m.span(1)]
@@ -178,19 +186,21 @@ def places(text: str) -> list[Place]:
                 parts = _literals(text, a - 1, _JOINT) or parts
             line_start = text.rfind("\n", 0, a) + 1
             add("tagged", parts, text[line_start:a][-60:], "")
-        elif text[m.start()] != "=" and (b := text[m.end() : m.end() + 2]) and b[0] in "\"'`":
+        elif m.start() >= joined_to and text[m.start()] != "=" and (b := text[m.end() : m.end() + 2]) and b[0] in "\"'`":
             # a tagged token written in parts shows its tag only in the first
             joined = _literals(text, m.start(), _JOINT)
+            joined_to = joined[-1][1] if joined else 0
             if len(joined) > 1 and _TAGGED.match("".join(text[x:y] for x, y in joined)):
                 line_start = text.rfind("\n", 0, m.start()) + 1
                 add("tagged", joined, text[line_start : m.start()][-60:], "")
     # whatever its name: every quoted word and every bare word of an assignment that is no part of a place above
     covered = sorted(ab for p in found.values() for ab in p.parts)
     starts = [a for a, _ in covered]
+    joined_to = 0
     for m in chain(_QUOTED.finditer(text), _GIVEN.finditer(text)):
         a, z = m.span(m.lastindex)
         i = bisect_right(starts, z - 1)
-        if i and covered[i - 1][1] > a:
+        if i and covered[i - 1][1] > a or m.re is _QUOTED and a < joined_to:
             continue
         line_start = max(text.rfind("\n", 0, a) + 1, a - 200)
         before = text[line_start : m.start()]
@@ -200,6 +210,7 @@ def places(text: str) -> list[Place]:
             add("argument", [(a, z)], before[-60:], "")
         elif (before.strip() or text[m.end() : m.end() + 1] != ",") and not _KEY.match(text, m.end()):  # a line of a list of literals is data
             parts = _literals(text, m.start(), _JOINT)
+            joined_to = parts[-1][1] if parts else 0
             add("value", parts if len(parts) > 1 else [(a, z)], before[-60:], before[-60:])
     out = []
     for at in sorted(found):
@@ -218,7 +229,7 @@ _KIND_AT = {k: i if i < 8 else 20 + i for i, k in enumerate(KINDS)}
 
 def surprise(value: bytes, table: np.ndarray) -> float:
     """Mean surprise, in nats, of the characters of a value given the one before."""
-    b = np.frombuffer(value[:200], np.uint8)
+    b = np.frombuffer(value, np.uint8)
     return float(-table[b[:-1], b[1:]].mean()) if len(b) > 1 else 0.0
 
 
@@ -243,7 +254,7 @@ def bare_value(p: Place) -> str:
 def features(p: Place, path: str, table: np.ndarray) -> np.ndarray:
     v = bare_value(p)
     n = max(1, len(v))
-    kinds = [(c.islower(), c.isupper(), c.isdigit()) for c in v[:200]]
+    kinds = [(c.islower(), c.isupper(), c.isdigit()) for c in v]
     digits, uppers = sum(k[2] for k in kinds) / n, sum(k[1] for k in kinds) / n
     lowers = sum(k[0] for k in kinds) / n
     turns = sum(a != b for a, b in zip(kinds, kinds[1:])) / n
@@ -341,6 +352,16 @@ def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
+def example(p: Place, path: str, table: np.ndarray) -> tuple[str, int, list[float], list[float]] | None:
+    """(kind, label, features, features as a plain word) of a place of little doubt, the last for credentials under a name only."""
+    x = features(p, path, table)
+    y = weak_label(p, x)
+    if y < 0:
+        return None
+    known = y and p.kind in ("literal", "call", "address", "user", "bare")
+    return p.kind, y, x.tolist(), features(Place("value", bare_value(p), [], "", ""), path, table).tolist() if known else []
+
+
 @dataclass
 class Model:
     table: np.ndarray
@@ -353,25 +374,13 @@ class Model:
     unnamed_shift: float = 0.0
 
     @classmethod
-    def of(cls, table: np.ndarray, sampled: list[tuple[Place, str]]) -> Model:
-        """Fitted on (place, path) of a sample."""
-        xs, ys, known, other, judged = [], [], [], [], []
-        for p, path in sampled:
-            x = features(p, path, table)
-            y = weak_label(p, x)
-            if y < 0:
-                continue
-            if p.kind in UNNAMED:
-                other.append(x)
-                judged.append(y)
-                continue
-            xs.append(x)
-            ys.append(y)
-            if y and p.kind in ("literal", "call", "address", "user", "bare"):
-                known.append(features(Place("value", bare_value(p), [], "", ""), path, table))
+    def of(cls, table: np.ndarray, rows: list[tuple[str, int, list[float], list[float]]]) -> Model:
+        """Fitted on (kind, label, features, features as a plain word or none) of sampled places."""
+        named = [r for r in rows if r[0] not in UNNAMED]
+        plain = [(r[1], r[2]) for r in rows if r[0] in UNNAMED] + [(1, r[3]) for r in named if r[3]]
         parts = []
-        for a, b, even in ((xs, ys, True), (other + known, judged + [1] * len(known), False)):
-            x, y = np.asarray(a).reshape(-1, N_FEATURES), np.asarray(b)
+        for rows_, even in (([(r[1], r[2]) for r in named], True), (plain, False)):
+            x, y = np.asarray([r[1] for r in rows_]).reshape(-1, N_FEATURES), np.asarray([r[0] for r in rows_])
             held = np.arange(len(y)) % 5 == 0
             w = fit(x[~held], y[~held], even=even)
             parts += [w, *calibrate(x[held] @ w, y[held])]
@@ -430,33 +439,36 @@ def fit_model(tables: list[tuple[DataFrame, str, str]], content: str = "content"
 
     def sampling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind, value, name, before, path = [], [], [], [], []
+            seen = []
             for text, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for p in places(text or ""):
                     if p.kind in ("value", "given") and crc32(p.value.encode("utf-8", "replace")) % 4:
                         continue  # a fourth of the plain words is enough to learn from
-                    kind.append(p.kind)
-                    value.append(p.value[:400])
-                    name.append(p.name)
-                    before.append(p.before)
-                    path.append(where)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (kind, value, name, before, path)], ["kind", "value", "name", "before", "path"])
-
-    counts, sampled = None, None
+                    if e := example(p, where, held.value):
+                        seen.append((blake2b("\0".join((p.kind, p.value, p.name, p.before, where)).encode("utf-8", "replace"), digest_size=16).digest(), *e))
+            columns = [list(c) for c in zip(*seen)] or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.string(), pa.int32(), numbers, numbers))], ["of", "kind", "label", "x", "plain"])
+
+    numbers = pa.list_(pa.float64())
+    counts, parts = None, []
     for df, key, path in tables:
         n = df.count()
         own = df.select(F.col(content)).mapInArrow(counting, "k bigint, n bigint")
         share = min(1.0, SAMPLE_RECORDS / max(1, n * len(tables)))
         part = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(share * (1 << 20))).select(content, F.coalesce(F.col(path), F.lit("")).alias("path"))
-        places_ = part.mapInArrow(sampling, "kind string, value string, name string, before string, path string")
         counts = own if counts is None else counts.union(own)
-        sampled = places_ if sampled is None else sampled.union(places_)
+        parts.append(part)
     n = np.full(65536, 0.1)
     for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect():
         n[r.k] += r.n
     n = n.reshape(256, 256)
     table = np.log(n / n.sum(1, keepdims=True))
-    return Model.of(table, [(Place(r.kind, r.value, [], r.name, r.before), r.path) for r in sorted(sampled.distinct().collect())])
+    held = spark.sparkContext.broadcast(table)
+    sampled = None
+    for part in parts:
+        rows = part.mapInArrow(sampling, "of binary, kind string, label int, x array<double>, plain array<double>")
+        sampled = rows if sampled is None else sampled.union(rows)
+    return Model.of(table, [tuple(r)[1:] for r in sorted(sampled.dropDuplicates(["of"]).collect())])
 
 
 def find(df: DataFrame, model: Model, key: str, version: str, path: str, content: str = "content") -> DataFrame:

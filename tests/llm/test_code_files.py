@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import ast
 import datetime as dt
+import time
 
 import pytest
 
@@ -86,6 +87,31 @@ def test_credentials_without_a_telling_name(spark):
     assert {r.line_no for r in cr.find(df.where("path = 'a.sh'"), model, "path", "scanned_at", "path").collect()} == set(range(1, len(UNNAMED) + 1))
 
 
+def test_long_credentials_are_redacted_whole():
+    """No value is cut: a place reaches the end of its token, literal, address or key block, however long."""
+    long = "".join(f"aB3{i:04}xQ" for i in range(120))
+    jwt = f"eyJhbGciOiJI.{long}.{long[:300]}"
+    block = "\n".join(long[:64] for _ in range(700))
+    for text, value in (
+        (f"API_TOKEN={jwt}\n", jwt), (f"h = 'Authorization: Bearer {jwt}'", jwt), (f'neutral = "{jwt}"', jwt), (f"u = 'amqp://{'u' * 90}:{long}@h/x'", long),
+        (f"-----BEGIN PRIVATE KEY-----\n{block}\n-----END PRIVATE KEY-----\n", block), (f"-----BEGIN PRIVATE KEY-----\n{block}\nQx7/Kz9=\nimport os\n", f"{block}\nQx7/Kz9="),
+    ):
+        assert any("".join(text[a:b] for a, b in p.parts).strip() == value for p in cr.places(text)), text[:60]
+    many = "password = (" + " ".join(f'"k{i:02}Z"' for i in range(90)) + ")"
+    assert max(len(p.parts) for p in cr.places(many)) == 90
+    table = cr.np.log(cr.np.full((256, 256), 1 / 256))
+    table[98, 98] = 0.0
+    plain, tail = cr.surprise(b"b" * 300, table), cr.surprise(b"b" * 300 + b"xq" * 300, table)
+    assert plain == 0 and tail > 3
+
+
+def test_places_stay_linear_without_bounds():
+    for text in ('"aaaaaaaaaaaaaaaaaaaa" ' * 20_000, "a=b" * 100_000 + "(", "-----BEGIN PRIVATE KEY-----\n" * 5_000):
+        began = time.process_time()
+        cr.places(text)
+        assert time.process_time() - began < 5
+
+
 VALID = {
     "javascript": ['import { a } from "./b";\nexport class C extends D {\n  get x() { return this.y ? `t${1}` : [1, , 2]; }\n  static async f(a, ...b) { for (const c of a) { await c(); } }\n}\nconst r = /["(]/.test(a) ? { a, "b": 1, f() { return 2 } } : (x) => ({ x });\nif (a) b(); else if (c) { d() } else { e() }\ntry { f() } catch { g() } finally { h() }\n', "a\n  .b()\n  .c;\nlet x = a ? b : c\nx++\ny--\n!function(f){f.a=1}(g);\n"],
     "typescript": ['import type { A } from "./a";\nexport interface B<T> extends A { x?: number; readonly y: Array<T>; }\nenum E { A = 1, B }\nexport function f<T>(a: T, b?: string): Promise<T[]> { return g(a as any) satisfies any; }\nabstract class C implements B<number> { private x: number = 1; constructor(public y: string) { super(); } }\ntype F = (a: number) => void;\n'],
