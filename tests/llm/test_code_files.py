@@ -36,6 +36,18 @@ def test_foreign_files(spark):
     assert ff.foreign(df.limit(0)).count() == 0
 
 
+
+def test_statements_below_the_head():
+    model = ff.Model({}, {}, {})
+    licence = "".join(f"# Licence clause {i}: keep this notice.\n" for i in range(20))
+    assert ff.classify("r/a.py", "python", licence + "# Code generated by toolc v1; DO NOT EDIT.\n" + HAND, model) == "generated"
+    assert ff.classify("r/b.py", "python", HAND * 2 + "# machine-written by toolc on build 017\n", model) == "generated"
+    assert ff.classify("r/c.sh", "shell", "echo a\n" * 14 + "# Vendored from example/tool\n", model) == "vendored"
+    assert ff.classify("r/d.py", "python", licence + "# left-pad v1.3.0\n" + HAND, model) == "vendored"
+    for own in ("    # generated by the caller\n    x = 1\n", "# say 'generated by' in the header\n", "# left-pad v1.3.0\n"):
+        assert ff.classify("r/e.py", "python", HAND + own, model) is None
+
+
 SECRETS = [
     'password = "tr0ub4dor&3x"',
     'API_KEY = "ghp_Szpsk7TVX81LAa2cSqZHl8tZx00TnUyU9Eg"',
