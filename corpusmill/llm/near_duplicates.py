@@ -27,8 +27,8 @@ from corpusmill.runtime import cut, ship
 from corpusmill.sources.tables import latest
 
 RUN, THRESHOLD = 4, 0.7
-#: 20 bands of 3 registers: at a similarity of 0.7 a pair is missed with probability 0.657 ** 20 = 0.0002.
-BANDS, ROWS = 20, 3
+#: 22 bands of 3 registers: at a similarity of 0.7 a pair is missed with probability 0.657 ** 22 = 0.0001.
+BANDS, ROWS = 22, 3
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -205,8 +205,9 @@ class NearDuplicates:
         pairs = cut(a.join(b, "h").where("a < b").select("a", "b").distinct())
         # features are listed only for the records of some proposed pair, from the row that is their record
         asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        asked = asked.join(signed.select("key", "version"), "key")
-        texts = rows_.join(asked, ["key", "version"], "left_semi") if version else rows_.join(asked.select("key"), "key", "left_semi")
+        asked = asked.join(signed.select("key", "version"), "key").select(F.col("key").alias("k"), F.col("version").alias("v"))
+        # null-safe: the latest row of a key that never had a version has none either
+        texts = rows_.join(asked, (F.col("key") == F.col("k")) & F.col("version").eqNullSafe(F.col("v")), "left_semi")
         lists = cut(latest(texts, "key", "version", ["content"]).select("key", "content").mapInArrow(listed, "key binary, f array<bigint>"))
         both = pairs.join(lists.select(F.col("key").alias("a"), F.col("f").alias("fa")), "a").join(lists.select(F.col("key").alias("b"), F.col("f").alias("fb")), "b")
         same = F.size(F.array_intersect("fa", "fb")).cast("double")

@@ -137,6 +137,15 @@ def test_pairs_and_groups_against_brute_force(spark):
     assert none.pairs().count() == 0 and none.groups().count() == 0
 
 
+def test_links_of_records_without_a_version(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("a", text, None), ("b", text + " more", None), ("c", text + " other", T), ("c", "an outdated row of no version", None), ("d", text, None)]
+    found = nd.NearDuplicates(spark.createDataFrame(rows, "id string, content string, indexed_at timestamp_ntz"))
+    assert {(r.id_a, r.id_b) for r in found.pairs().collect()} == set(combinations("abcd", 2))
+    assert {r.group_id for r in found.groups().collect()} == {"a"}
+    assert nd.BANDS == 22
+
+
 def test_weighted_groups(spark):
     rows = [("a", "x y z w " * 10, T), ("b", "x y z w " * 4, T), ("c", "x y z w " * 9, T)]
     df = spark.createDataFrame(rows, "id string, content string, indexed_at timestamp_ntz")
