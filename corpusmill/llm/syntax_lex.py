@@ -207,7 +207,12 @@ def sound(text: str, language: str) -> bool:
         for p in parts[1:]:
             total = total.then(Summary.of(p, lexicon))
     end, ok, closers, openers = total.by_state["code"]
-    return end == "code" and ok and not closers and not openers
+    good = end == "code" and ok and not closers and not openers
+    if len(parts) > 1 and (not good or language == "rust" and "/*" in text):
+        # the states carry neither a string continued over a line end nor the depth of nested comments: read it at one go
+        end, ok, closers, openers = Summary.of(text, lexicon, ("code",)).by_state["code"]
+        good = end == "code" and ok and not closers and not openers
+    return good
 
 
 def code_of(text: str, language: str) -> str:

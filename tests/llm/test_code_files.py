@@ -177,6 +177,16 @@ def test_summaries_compose_in_any_grouping(monkeypatch):
             assert left.by_state["code"][0] == whole.by_state["code"][0] or language == "c"
 
 
+@pytest.mark.parametrize("language, text, good", [
+    ("javascript", 'f("abc\\\ndef\\\nghi");\n', True), ("c", 'char *s = "abc\\\ndef\\\nghi";\n', True), ("rust", "/* a\n/* b\n*/ c\n*/\nfn f() {}\n", True), ("rust", "/* a\n/* b\n*/ c\nfn f() {}\n", False),
+])
+def test_soundness_does_not_depend_on_size(monkeypatch, language, text, good):
+    assert syntax_lex.sound(text, language) is good
+    for size in (5, 9, 14):
+        monkeypatch.setattr(syntax_lex, "PIECE", size)
+        assert syntax_lex.sound(text, language) is good, size
+
+
 def test_flags_and_rates(spark):
     rows = [("r/a.py", "python", "x = 1"), ("r/b.py", "python", "x = ("), ("r/c.md", "markdown", "(("), ("r/d.css", "css", "{{"), ("s/e.json", "json", "{"), ("s/f.py", None, "x = ("), ("s/g.py", "python", None), ("s/h.py", "python", ""), ("s/i.xx", "cobol", "(("), (None, "python", "("), ("r/b.py", "python", "x = ("), ("r/a.py", "python", "((", dt.datetime(2023, 1, 1))]
     df = files(spark, *rows)
