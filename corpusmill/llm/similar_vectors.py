@@ -189,15 +189,30 @@ class Forest:
         return np.concatenate(rows), np.concatenate(leaves), np.concatenate(home)
 
 
+#: Decimals of a cosine that count.
+TIE = 6
+
+
 def top_k(q: np.ndarray, m: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in ``m``, cosines) of the best of each row of ``q``, unordered; own[i] is never a hit of row i."""
+    """(positions in ``m``, cosines) of the best of each row of ``q``, unordered; own[i] is never a hit of row i.
+
+    Cosines are rounded to ``TIE``, which takes in the noise of single precision; ties go to the smaller position.
+    """
     s = q @ m.T
     if own is not None:
         rows = np.flatnonzero(own >= 0)
         s[rows, own[rows]] = -3
     k = min(k, m.shape[0])
-    at = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < m.shape[0] else np.broadcast_to(np.arange(k), s.shape)
-    return at, np.take_along_axis(s, at, 1)
+    if k == m.shape[0]:
+        return np.broadcast_to(np.arange(k), s.shape), np.round(s, TIE)
+    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    # where more tie with the k-th than fit, the partition chose among them at random: choose the smaller positions
+    least = np.round(np.take_along_axis(s, at, 1).min(1), TIE)
+    tied = np.flatnonzero((s >= (least - 0.6 * 10.0**-TIE).astype(np.float32)[:, None]).sum(1) > k)
+    for i in tied.tolist():
+        near = np.flatnonzero(s[i] >= least[i] - 10.0**-TIE)
+        at[i] = near[np.argsort(-np.round(s[i, near], TIE), kind="stable")[:k]]
+    return at, np.round(np.take_along_axis(s, at, 1), TIE)
 
 
 # ---------------------------------------------------------------- the operator
@@ -350,6 +365,7 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", version:
         asking = np.flatnonzero(kind & 1)
         out_keys, out_near = [], []
         if member.size:
+            member = np.asarray(sorted(member.tolist(), key=keys.__getitem__))  # positions in the order of keys, for ties
             names = [keys[i] for i in member]
             where = {name: j for j, name in enumerate(names)}
             m = x[member]

@@ -67,6 +67,13 @@ def test_unusable_ties_copies_versions(spark):
     assert [r.near for r in sv.nearest(frame(spark, rows[:1]), dims=4).collect()] in ([], [[]])
 
 
+def test_parallel_vectors_tie_by_key(spark):
+    v = np.random.default_rng(5).normal(size=4)
+    rows = [(f"p{i:02}", [float(x) for x in v * (1 + 0.37 * ((i * 17) % 60))], T) for i in range(60)]
+    got = {r.id: r.near for r in sv.nearest(frame(spark, rows), dims=4).collect()}
+    assert all(got[i] == [j for j, _, _ in rows if j != i][:5] for i, _, _ in rows)
+
+
 def jaccard(a, b, weighted=False):
     from collections import Counter
 
