@@ -26,9 +26,14 @@ from corpusmill.runtime import ship
 JUDGED_MOST = 20_000
 #: Strength of the prior in tokens, what a token costs that says nothing, and the bounds of a score.
 PRIOR, DRIFT, LOWEST, HIGHEST = 300.0, 1.0, -2.0, 5.0
-ROUNDS = 4
-#: A text is flagged only if ordinary text has so bad a passage with a chance of at most 10 to the minus this.
-SIGNIFICANT = 2.0
+ROUNDS, PASSAGE = 4, 4.0
+#: Parts of the judged documents that are scored by a model of the others.
+FOLDS = 5
+#: A text is flagged only if ordinary text has so bad a passage with a chance of at most 10 to the minus this; of
+#: a corpus of which some hundredths are abusive, such ordinary texts are then a few hundredths of what is flagged.
+SIGNIFICANT = 3.0
+#: From this chance on a text judged innocent is taken for a wrong judgement.
+WRONG = 8.0
 
 # ---------------------------------------------------------------- reading disguised spelling
 
@@ -122,25 +127,29 @@ def best_segments(score: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def maximal_segments(score: list[float]) -> list[tuple[float, int, int]]:
-    """(sum, first, after) of all maximal scoring segments of a text, in one pass (Ruzzo and Tompa)."""
-    total, stack = 0.0, []  # of (sum before, sum through, first, after)
-    for i, s in enumerate(score):
-        if s <= 0:
-            total += s
-            continue
-        left, total = total, total + s
-        first, right = i, total
+def maximal_segments(score: np.ndarray | list[float]) -> list[tuple[float, int, int]]:
+    """(sum, first, after) of all maximal scoring segments of a text, in linear time (Ruzzo and Tompa).
+
+    Only positive tokens are visited. A candidate keeps a link to the last one before it of smaller left sum, so the
+    search for that one skips all that an earlier search has passed.
+    """
+    step = np.asarray(score, np.float64)
+    at = np.flatnonzero(step > 0)
+    through = np.cumsum(step)[at]
+    lefts, rights = (through - step[at]).tolist(), through.tolist()
+    stack: list[tuple[float, float, int, int, int]] = []  # (sum before, sum through, first, after, link)
+    for i, left, right in zip(at.tolist(), lefts, rights):
+        first, k = i, len(stack) - 1
         while True:
-            k = len(stack) - 1
             while k >= 0 and stack[k][0] >= left:
-                k -= 1
+                k = stack[k][4]
             if k < 0 or stack[k][1] >= right:
-                stack.append((left, right, first, i + 1))
+                stack.append((left, right, first, i + 1, k))
                 break
-            left, first = stack[k][0], stack[k][2]
+            left, _, first, _, link = stack[k]
             del stack[k:]
-    return [(r - le, a, b) for le, r, a, b in stack]
+            k = link
+    return [(r - le, a, b) for le, r, a, b, _ in stack]
 
 
 # ---------------------------------------------------------------- the model
@@ -204,6 +213,7 @@ class Model:
     rate: float = 1.0
     scale: float = 1.0
     least: float = 3.0
+    folds: list[float] = field(default_factory=list)
 
     def prepare(self) -> None:
         """Arrays for :meth:`score`; made where the model is used."""
@@ -217,106 +227,175 @@ class Model:
         a, pair, ends = self.lexicon.read(texts)
         return self.w1[a] + self.w2[pair], ends
 
-    def surprise(self, best: float, n: int) -> float:
-        """-log10 of the chance that an ordinary text of ``n`` tokens has a segment this good."""
-        if best <= 0 or n <= 0:
-            return 0.0
-        expected = self.scale * n * np.exp(-self.rate * best)
-        return float(-np.log10(max(-np.expm1(-expected), 1e-300)))
+    def surprise(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return surprises(best, n, self.rate, self.scale)
+
 
+def surprises(best: np.ndarray, n: np.ndarray, rate: float, scale: float) -> np.ndarray:
+    """-log10 of the chance that an ordinary text of ``n`` tokens has a segment as good as ``best``."""
+    expected = scale * n * np.exp(-rate * best)
+    return np.where((best > 0) & (n > 0), -np.log10(np.maximum(-np.expm1(-expected), 1e-300)), 0.0)
 
-def _ids(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[tuple[str, str]]]:
-    one: dict[str, int] = {}
-    two: dict[tuple[str, str], int] = {}
-    a, b, ends = [], [], [0]
-    for t in texts:
-        f = [_folded[w] for w in t]
-        a += [one.setdefault(w, len(one)) for w in f]
-        if f:
-            b.append(-1)
-            b += [two.setdefault(p, len(two)) for p in zip(f, f[1:])]
-        ends.append(len(a))
-    return np.asarray(a, np.int64), np.asarray(b, np.int64), np.asarray(ends), list(one), list(two)
+
+def _shrunk(d: np.ndarray, error: np.ndarray) -> np.ndarray:
+    """Log-odds drawn towards 0 where their standard error is large."""
+    return d * np.minimum(1, np.abs(d) / error / 2.5)
 
 
 def _log_odds(bad: np.ndarray, good: np.ndarray, prior: np.ndarray, tokens: float) -> np.ndarray:
-    """Difference of log-odds with a Dirichlet prior, drawn towards 0 where its standard error is large."""
+    """Difference of log-odds with a Dirichlet prior."""
     a, b = bad + prior, good + prior
     n_bad, n_good = bad.sum() + PRIOR, tokens - bad.sum() + PRIOR
     d = np.log(a / np.maximum(n_bad - a, 1e-9)) - np.log(b / np.maximum(n_good - b, 1e-9))
-    z = d / np.sqrt(1 / a + 1 / b)
-    return d * np.minimum(1, np.abs(z) / 2.5)
+    return _shrunk(d, np.sqrt(1 / a + 1 / b))
 
 
 def _judged_odds(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
     """Log-odds of being in an abusive passage against being in a text judged innocent."""
-    return np.log((bad + 0.2) / (n_bad + 0.4)) - np.log((good + 0.2) / (n_good + 0.4))
+    a, b = bad + 0.5, good + 0.5
+    return _shrunk(np.log(a / (n_bad + 1)) - np.log(b / (n_good + 1)), np.sqrt(1 / a + 1 / b))
+
+
+class Judged:
+    """The judged texts as numbers: words and pairs of the abusive ones are known, all others are word 0."""
+
+    def __init__(self, texts: list[list[str]], abusive: np.ndarray, ones_seen: dict[str, int], twos_seen: dict[tuple[str, str], int], tokens: int):
+        self.abusive, self.n = np.asarray(abusive) == 1, np.asarray([len(t) for t in texts], np.int64)
+        one: dict[str, int] = {}
+        two: dict[tuple[str, str], int] = {}
+        folds = [[_folded[w] for w in t] for t in texts]
+        for f, y in zip(folds, self.abusive):
+            if y:
+                for w in f:
+                    one.setdefault(w, len(one) + 1)
+                for p in zip(f, f[1:]):
+                    two.setdefault(p, len(two) + 1)
+        a: list[int] = []
+        b: list[int] = []
+        for f in folds:
+            a += [one.get(w, 0) for w in f]
+            if f:
+                b.append(0)
+                b += [two.get(p, 0) for p in zip(f, f[1:])]
+        self.a, self.b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+        self.ends = np.r_[0, np.cumsum(self.n)]
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        self.ones, self.twos = list(one), list(two)
+        # a text that repeats itself counts once
+        self.in1, self.in2 = (np.unique(self.doc * (size + 1) + ids) for ids, size in ((self.a, len(one)), (self.b, len(two))))
+        all1, all2 = (np.bincount(k % (size + 1), minlength=size + 1).astype(float) for k, size in ((self.in1, len(one)), (self.in2, len(two))))
+        self.all1 = np.maximum(np.r_[0.0, [ones_seen.get(w, 0) for w in self.ones]], all1)
+        self.all2 = np.maximum(np.r_[0.0, [twos_seen.get(p, 0) for p in self.twos]], all2)
+        self.tokens = max(tokens, all1.sum())
+
+    def _innocent(self, keys: np.ndarray, size: int, use: np.ndarray) -> np.ndarray:
+        return np.bincount(keys[(use & ~self.abusive)[keys // size]] % size, minlength=size).astype(float)
+
+    def _passages(self, ids: np.ndarray, size: int, inside: np.ndarray) -> np.ndarray:
+        """In the passages of how many texts each id occurs, without the one that suggested it.
+
+        A word that a single judged text holds is thus no evidence: that judgement may be wrong, or the word be there by chance.
+        """
+        seen = np.unique(self.doc[inside] * size + ids[inside])
+        return np.maximum(np.bincount(seen % size, minlength=size) - 1.0, 0.0)
+
+    def weights(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words and pairs, fitted in turns on the documents ``use`` (mask); those of number 0 say nothing."""
+        s1, s2 = len(self.ones) + 1, len(self.twos) + 1
+        neg1, neg2 = self._innocent(self.in1, s1, use), self._innocent(self.in2, s2, use)
+        prior1, prior2 = (PRIOR * (n + 0.5) / self.tokens for n in (self.all1, self.all2))
+        bad = np.flatnonzero(use & self.abusive)
+        n_bad, n_good = float(len(bad)), float((use & ~self.abusive).sum())
+        own = (use & self.abusive)[self.doc]
+        inside = own
+        w1, w2 = np.zeros(s1), np.zeros(s2)
+        for _ in range(ROUNDS):
+            in1, in2 = self._passages(self.a, s1, inside), self._passages(self.b, s2, inside)
+            # a word must be rare in the corpus and rare in texts judged innocent
+            w1 = np.clip(np.minimum(_log_odds(in1, self.all1 - in1, prior1, self.tokens), _judged_odds(in1, neg1, n_bad, n_good)), LOWEST, HIGHEST)
+            w2 = np.clip(np.minimum(_log_odds(in2, self.all2 - in2, prior2, self.tokens), _judged_odds(in2, neg2, n_bad, n_good)), LOWEST, HIGHEST) / 2
+            w1[0] = w2[0] = 0.0
+            score = self.score(w1, w2)
+            inside = np.zeros(len(self.a), bool)
+            for k in bad[best_segments(score, self.ends)[bad] > PASSAGE]:
+                for s, i, j in maximal_segments(score[self.ends[k] : self.ends[k + 1]]):
+                    if s > PASSAGE:
+                        inside[self.ends[k] + i : self.ends[k] + j] = True
+            if not inside.any():
+                break
+        return w1, w2
+
+    def score(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
+        return w1[self.a] - DRIFT + w2[self.b]
+
+    def calibrated(self, score: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """(best segment of every text, rate, scale) of the extreme-value law of the innocent texts of ``use``.
+
+        The rate is the positive root of E[exp(rate * score)] = 1 over their tokens, the scale follows from their mean.
+        """
+        best = best_segments(score, self.ends)
+        ordinary = use & ~self.abusive
+        value, times = np.unique(np.round(score[ordinary[self.doc]], 3), return_counts=True)
+        lo, hi = 1e-3, 5.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (np.exp(np.minimum(mid * value, 50)) * times).sum() < times.sum() else (lo, mid)
+        calm = ordinary & (best <= np.quantile(best[ordinary], 0.97))  # a few judgements are wrong
+        return best, lo, float(calm.sum() / max(1e-9, (self.n[calm] * np.exp(-lo * best[calm])).sum()))
+
+
+def cut_of(surprise: np.ndarray, abusive: np.ndarray) -> float:
+    """The middle of all cuts whose F1 is within one standard error of the best."""
+    order = np.argsort(-surprise, kind="stable")
+    value, hits, n = surprise[order], np.cumsum(abusive[order]), int(abusive.sum())
+    last = np.r_[np.diff(value) < 0, True]  # a cut does not part equal values
+    value, f1 = value[last], (2 * hits / (np.arange(1, len(order) + 1) + n))[last]
+    good = np.flatnonzero(f1 >= f1.max() - np.sqrt(f1.max() * (1 - f1.max()) / n))
+    below = value[good[-1] + 1] if good[-1] + 1 < len(value) else 0.0
+    return float((value[good[0]] + below) / 2)
 
 
 def fit(texts: list[list[str]], abusive: np.ndarray, ones_seen: dict[str, int], twos_seen: dict[tuple[str, str], int], tokens: int) -> Model:
     """A model from judged texts (as words), and in how many texts of the whole corpus words and pairs of words occur.
 
-    Ordinary text is the corpus; what the judged texts say in passing weighs as little as it is common there.
+    Ordinary text is the corpus; what the judged texts say in passing weighs as little as it is common there. The
+    threshold is read off texts that the fit has not seen: each of FOLDS parts is scored by a model of the others.
+    Texts judged innocent that such a model finds beyond doubt abusive are taken for wrong judgements and left out of the last fit.
     """
-    a, b, ends, ones, twos = _ids(texts)
-    if not len(a) or not abusive.any() or abusive.all():
+    abusive = np.asarray(abusive)
+    if not sum(map(len, texts)) or not (abusive == 1).any() or (abusive == 1).all():
         return Model(least=np.inf)
-    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
-    has_two = b >= 0
-
-    def texts_with(ids: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
-        """In how many texts each id occurs: a text that repeats itself counts once."""
-        seen = np.unique(doc[where] * size + ids[where])
-        return np.bincount(seen % size, minlength=size).astype(float)
-
-    judged1 = texts_with(a, np.ones(len(a), bool), len(ones))
-    judged2 = texts_with(b, has_two, max(1, len(twos)))[: len(twos)]
-    all1 = np.maximum(np.asarray([ones_seen.get(w, 0) for w in ones], float), judged1)
-    all2 = np.maximum(np.asarray([twos_seen.get(w, 0) for w in twos], float), judged2)
-    tokens = max(tokens, judged1.sum())
-    prior1, prior2 = PRIOR * (all1 + 0.5) / tokens, PRIOR * (all2 + 0.5) / tokens
-    inside = abusive[doc].astype(bool)
-    innocent = ~inside
-    neg1 = texts_with(a, innocent, len(ones))
-    neg2 = texts_with(b, innocent & has_two, max(1, len(twos)))[: len(twos)]
-    n_bad, n_good = float((abusive == 1).sum()), float((abusive == 0).sum())
-    for _ in range(ROUNDS):
-        in1 = texts_with(a, inside, len(ones))
-        in2 = texts_with(b, inside & has_two, max(1, len(twos)))[: len(twos)]
-        # a word must be rare in the corpus and rare in texts judged innocent
-        w1 = np.clip(np.minimum(_log_odds(in1, all1 - in1, prior1, tokens), _judged_odds(in1, neg1, n_bad, n_good)), LOWEST, HIGHEST)
-        w2 = np.clip(np.minimum(_log_odds(in2, all2 - in2, prior2, tokens), _judged_odds(in2, neg2, n_bad, n_good)), LOWEST, HIGHEST) / 2
-        score = w1[a] - DRIFT + np.where(has_two, w2[b], 0)
-        inside = np.zeros(len(a), bool)
-        for k in np.flatnonzero(abusive):
-            for s, i, j in maximal_segments(score[ends[k] : ends[k + 1]].tolist()):
-                if s > 4:
-                    inside[ends[k] + i : ends[k] + j] = True
-        if not inside.any():
-            return Model(least=np.inf)
-    model = Model({w: float(s) - DRIFT for w, s in zip(ones, w1)}, {p: float(s) for p, s in zip(twos, w2) if s})
-    best = best_segments(score, ends)
-    n = np.diff(ends)
-    # rate: the positive root of E[exp(rate * score)] = 1 over ordinary tokens; scale from the ordinary texts' mean
-    good = score[~abusive[doc].astype(bool)]
-    lo, hi = 1e-3, 5.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if np.exp(np.minimum(mid * good, 50)).mean() < 1 else (lo, mid)
-    model.rate = lo
-    ordinary = best[abusive == 0]
-    size = n[abusive == 0]
-    calm = ordinary <= np.quantile(ordinary, 0.97)  # a few judgements are wrong
-    model.scale = float(calm.sum() / max(1e-9, (size[calm] * np.exp(-model.rate * ordinary[calm])).sum()))
-    surprise = np.asarray([model.surprise(s, m) for s, m in zip(best, n)])
-    order = np.argsort(-surprise)
-    hits = np.cumsum(abusive[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + abusive.sum())
-    at = int(np.argmax(f1))
-    floor = surprise[order[at]]
-    below = surprise[order[at + 1]] if at + 1 < len(order) else 0.0
+    j = Judged(texts, abusive, ones_seen, twos_seen, tokens)
+    # folds of like shares of abusive texts
+    part = np.empty(len(texts), np.int64)
+    for y in (False, True):
+        own = np.flatnonzero(j.abusive == y)
+        part[own] = np.arange(len(own)) % FOLDS
+    models = []
+    for f in range(FOLDS):
+        use = part != f
+        if (use & j.abusive).any() and (use & ~j.abusive).any():
+            models.append((f, j.score(*j.weights(use))))
+
+    def held_out(right: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for f, score in models:
+            best, rate, scale = j.calibrated(score, (part != f) & right)
+            out[part == f] = surprises(best, j.n, rate, scale)[part == f]
+        return out
+
+    use = j.abusive | (held_out(np.ones(len(texts), bool)) < WRONG)
+    unseen = held_out(use)
+    cuts = [cut_of(unseen[k], j.abusive[k]) for k in (use & (part == f) for f in range(FOLDS)) if j.abusive[k].any()]
+    w1, w2 = j.weights(use)
+    model = Model({w: float(s) - DRIFT for w, s in zip(j.ones, w1[1:])}, {p: float(s) for p, s in zip(j.twos, w2[1:]) if s})
+    score = j.score(w1, w2)
+    if not (score > 0).any():
+        return Model(least=np.inf)
+    _, model.rate, model.scale = j.calibrated(score, use)
     # judged samples hold more abuse than the corpus, so the best cut there may be too low for it
-    model.least = max(float((floor + below) / 2), SIGNIFICANT)
+    model.least = max(cut_of(unseen[use], j.abusive[use]), SIGNIFICANT)
+    model.folds = cuts
     return model
 
 
@@ -395,10 +474,11 @@ def score_documents(df: DataFrame, model: Model, key: str = "doc_id", text: str
             score, at = m.score(b.column(1).to_pylist())
             best = best_segments(score, at)
             n = np.diff(at)
-            surprise = np.asarray([m.surprise(s, k) for s, k in zip(best.tolist(), n.tolist())], float)
+            surprise = m.surprise(best, n)
             found = np.zeros(len(n), np.int32)
             for k in np.flatnonzero(surprise >= m.least):
-                found[k] = sum(m.surprise(s, int(n[k])) >= m.least for s, _, _ in maximal_segments(score[at[k] : at[k + 1]].tolist()))
+                sums = np.asarray([s for s, _, _ in maximal_segments(score[at[k] : at[k + 1]])])
+                found[k] = (m.surprise(sums, n[k]) >= m.least).sum()
             new = [pa.array(surprise), pa.array(best), pa.array(found), pa.array(surprise >= m.least)]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *new], ["key", *kept, "score", "best", "passages", "flagged"])
 

@@ -77,3 +77,24 @@ def test_held_out_accuracy_and_edges(spark):
     assert abuse.score_documents(df.limit(0), model).count() == 0
     none = abuse.fit_model(df, lab.limit(0))
     assert not any(r.flagged for r in abuse.score_documents(df.limit(50), none).collect())
+
+
+def test_maximal_segments_in_linear_time():
+    import time
+
+    def seconds(n):
+        s = np.tile([1.0, -2.0], n // 2)
+        t = time.perf_counter()
+        assert len(abuse.maximal_segments(s)) == n // 2
+        return time.perf_counter() - t
+
+    seconds(1000)
+    assert seconds(160_000) < 2  # a quadratic search took 4 s for 16,000
+
+
+def test_a_word_of_one_judged_text_is_no_evidence():
+    texts = [["you", "are", "a", "moron", "lonely" if i == 0 else "plain"] if i % 5 == 0 else ["plain", "words", "here"] for i in range(200)]
+    bad = np.asarray([i % 5 == 0 for i in range(200)], int)
+    model = abuse.fit(texts, bad, {"a": 9000, "are": 9000, "you": 9000}, {}, 60_000)
+    assert model.one["moron"] > 1 and model.one["lonely"] < 0
+    assert model.least >= abuse.SIGNIFICANT and len(model.folds) == abuse.FOLDS
