@@ -21,7 +21,8 @@ import regex
 
 #: Fixed value: the published split pattern of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_ASCII = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+#: The same for ASCII; its blanks are those of the other, for `re` takes U+001C to U+001F for blanks too.
+_ASCII = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -226,5 +227,15 @@ class ByteBpe:
 
 @lru_cache(maxsize=4)
 def load(path: str = DEFAULT_VOCABULARY) -> ByteBpe:
-    """The encoder of a rank file, built once per worker process."""
+    """The encoder of a rank file, built once per process."""
     return ByteBpe(read_ranks(path))
+
+
+_built: dict[str, ByteBpe] = {}
+
+
+def built(name: str, words: list[bytes]) -> ByteBpe:
+    """The encoder of a vocabulary sent along with a task, built once per worker process."""
+    if name not in _built:
+        _built[name] = ByteBpe(words)
+    return _built[name]

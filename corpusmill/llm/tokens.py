@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import byte_bpe
@@ -16,16 +16,22 @@ from corpusmill.runtime import ship
 _AT_ONCE = 256
 
 
+def _sent(spark: SparkSession, vocabulary: str):
+    """The vocabulary as a broadcast (some 50,000 short entries), so that only the driver needs the file."""
+    ship(spark)
+    return spark.sparkContext.broadcast((vocabulary, byte_bpe.read_ranks(vocabulary)))
+
+
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = byte_bpe.DEFAULT_VOCABULARY) -> DataFrame:
     """(key, ids): the ids of each text, without special tokens, one row per input row, no shuffle.
 
     A null and an empty text both have the empty list. Blank texts are encoded as they stand; text that
     spells a special token is ordinary text; repeated rows give repeated rows; other columns are ignored.
     """
-    ship(df.sparkSession)
+    held = _sent(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe.load(vocabulary)
+        bpe = byte_bpe.built(*held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, _AT_ONCE):
                 part = batch.slice(at, _AT_ONCE)
@@ -40,10 +46,10 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = byte_bpe.DEFAULT_VOCABULARY) -> DataFrame:
     """(key, n_tokens): the number of ids of each text; 0 for a null or empty text."""
-    ship(df.sparkSession)
+    held = _sent(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe.load(vocabulary)
+        bpe = byte_bpe.built(*held.value)
         for batch in batches:
             n = bpe.count_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64))], ["key", "n_tokens"])
@@ -55,10 +61,10 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = byte_bpe.DEFAULT_VOCABULARY) -> DataFrame:
     """(key, text): the texts of lists of ids; the exact inverse of :func:`encode_texts` for valid text, '' for no ids."""
-    ship(df.sparkSession)
+    held = _sent(df.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe.load(vocabulary)
+        bpe = byte_bpe.built(*held.value)
         for batch in batches:
             texts = [bpe.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])

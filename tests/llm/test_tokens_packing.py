@@ -18,7 +18,7 @@ def other(path):
     return tiktoken.Encoding("t", pat_str=byte_bpe.PATTERN, mergeable_ranks={w: i for i, w in enumerate(words)}, special_tokens={})
 
 
-CASES = ["", " ", "a", "Hello  world\n\n\tx", "it's I'LL 've", "a\x1cb \x1d", "日本語" * 50, "\u0301é ﷽ 👩‍👩‍👧", "<|endoftext|>", "x" * 3000, "ab" * 4000, "1234567890" * 30, "\r\n \r\n  y", "\x85 y  z\u2028"]
+CASES = ["", " ", "a", "Hello  world\n\n\tx", "it's I'LL 've", "a\x1cb \x1d", "\n\n\x1e1a\x1d", "日本語" * 50, "\u0301é ﷽ 👩‍👩‍👧", "<|endoftext|>", "x" * 3000, "ab" * 4000, "1234567890" * 30, "\r\n \r\n  y", "\x85 y  z\u2028"]
 
 
 @pytest.mark.parametrize("path", [byte_bpe.DEFAULT_VOCABULARY, MULTI])
@@ -37,6 +37,14 @@ def test_encoder_on_any_text(text):
     assert ids == other(byte_bpe.DEFAULT_VOCABULARY).encode_ordinary(text) and bpe.decode(ids) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=127), max_size=30))
+def test_ascii_splits_as_published(text):
+    bpe = byte_bpe.load()
+    assert bpe._plain.findall(text) == bpe._wide.findall(text)
+    assert bpe.encode(text) == other(byte_bpe.DEFAULT_VOCABULARY).encode_ordinary(text)
+
+
 def test_batches_and_a_full_memo():
     bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(byte_bpe.DEFAULT_VOCABULARY), memo=3)
     want = [bpe.encode(t) for t in CASES]
