@@ -224,9 +224,14 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.rollup("kind", "type").agg(F.count("*").alias("count"), F.grouping_id().alias("g")).where("g <= 1").select("kind", "type", "count")
 
 
+def below_prefix(nodes: DataFrame, prefix: str) -> DataFrame:
+    """(id): the nodes of paths that begin with ``prefix``."""
+    return nodes.where(F.coalesce(F.coalesce("file_path", "id").startswith(prefix) | F.col("id").startswith(prefix), F.lit(False))).select("id").distinct()
+
+
 def without_prefix(nodes: DataFrame, edges: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
     """The graph without the nodes of paths that begin with ``prefix`` and without their edges."""
-    gone = nodes.where(F.coalesce("file_path", "id").startswith(prefix) | F.col("id").startswith(prefix)).select("id").distinct()
+    gone = below_prefix(nodes, prefix)
     kept = nodes.join(gone, "id", "left_anti")
     left = edges.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti")
     return kept, left.join(gone.select(F.col("id").alias("target_id")), "target_id", "left_anti")

@@ -16,7 +16,9 @@ WEIGHTS = {
     "call_frequency": 0.2, "inheritance_importance": 0.2, "code_complexity": 0.1, "documentation_score": 0.1,
 }
 THRESHOLD = 0.5
+#: The edges around a hit that are shown, and those that are weighed.
 ASKED_TYPES = ("CALLS", "DEFINED_IN", "CONTAINS")
+WEIGHED_TYPES = (*ASKED_TYPES, "HAS_METHOD")
 TOP = 5
 
 
@@ -39,12 +41,12 @@ def enhance(hits: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def features(hits: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, one column a feature) of hits (query_id, id).
 
-    The graph of a hit is what one hop over CALLS, DEFINED_IN and CONTAINS reaches. That is a star around the hit, so
+    The graph of a hit is what one hop over CALLS, DEFINED_IN, CONTAINS and HAS_METHOD reaches. That is a star around the hit, so
     the longest chain of calls in it is known without recursion: 1 for a caller of the hit, 2 if the hit
     calls on, and 11, the bound of the recursion, if one of its callers is also called by it or it calls itself.
     """
     ids = hits.select("id").distinct()
-    e = keep(graph.touching(graph.of_types(edges, ASKED_TYPES), ids))
+    e = keep(graph.touching(graph.of_types(edges, WEIGHED_TYPES), ids))
     n = nodes.select("id", "type").distinct()
     near = keep(graph.ends(e, "start").join(n, "id"))
     n_nodes = near.groupBy("start").agg(F.count("*").alias("n_nodes"))

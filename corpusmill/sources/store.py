@@ -4,111 +4,136 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import graph
+from corpusmill.runtime import keep
 from corpusmill.schemas import CHUNKS, EDGES, NODES
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _replace(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and move over it, so that a plan that reads ``path`` may be written there."""
-    spark = df.sparkSession
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(new), jvm.org.apache.hadoop.fs.Path(path))
+from corpusmill.sources.versions import Buckets
 
 
 class ChunkStore:
-    """A table of chunks by id. Inserting is an upsert: of rows with one id the last inserted stands."""
+    """A table of chunks by id, in buckets by file. Inserting is an upsert: of rows with one id the last inserted stands.
+
+    A chunk id names one file (it is made of the path and the lines), so rows of one id share a bucket. A change
+    rewrites the buckets of the files it touches; see :mod:`corpusmill.sources.versions` for what a failure leaves behind.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
-        self.spark, self.path, self.dimension = spark, path, dimension
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None, buckets: int = 64):
+        self.spark, self.dimension = spark, dimension
+        self.table = Buckets(spark, path, CHUNKS, F.col("file_path"), buckets)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(CHUNKS).parquet(self.path) if _exists(self.spark, self.path) else self.spark.createDataFrame([], CHUNKS)
+        return self.table.read()
 
-    def insert(self, chunks: DataFrame) -> int:
-        """Number of rows inserted; a vector of another length than the store's is an error."""
-        new = chunks.select([F.col(f.name).cast(f.dataType) for f in CHUNKS]) if "embedding" in chunks.columns else chunks.withColumn("embedding", F.lit(None).cast("array<float>")).select([f.name for f in CHUNKS])
+    def _ready(self, chunks: DataFrame) -> DataFrame:
+        """The rows to insert, evaluated once; a vector of another length than the store's is an error."""
+        if "embedding" not in chunks.columns:
+            chunks = chunks.withColumn("embedding", F.lit(None))
+        new = keep(chunks.select([F.col(f.name).cast(f.dataType) for f in CHUNKS]))
         if self.dimension is not None and new.where(F.col("embedding").isNotNull() & (F.size("embedding") != self.dimension)).limit(1).count():
             raise ValueError(f"a vector does not have {self.dimension} values")
-        n = new.count()
-        if n:
-            names = [f.name for f in CHUNKS if f.name != "id"]
-            both = self.read().withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
-            last = both.groupBy("id").agg(F.max(F.struct("turn", *names)).alias("r"))
-            _replace(last.select("id", *[f"r.{c}" for c in names]), self.path)
-        return n
+        return new
+
+    @staticmethod
+    def _last(old: DataFrame, new: DataFrame) -> DataFrame:
+        names = [f.name for f in CHUNKS if f.name != "id"]
+        both = old.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
+        last = both.groupBy("id").agg(F.max(F.struct("turn", *names)).alias("r"))
+        return last.select("id", *[f"r.{c}" for c in names])
+
+    def insert(self, chunks: DataFrame) -> int:
+        """Number of rows inserted."""
+        new = self._ready(chunks)
+        self.table.change(self.table.touched(new), lambda old: self._last(old, new))
+        return new.count()
+
+    def replace_files(self, paths: DataFrame, chunks: DataFrame) -> int:
+        """Insert the chunks of files (path), and drop every other chunk of these files."""
+        new, paths = self._ready(chunks), paths.select(F.col("path").alias("file_path")).distinct()
+        touched = sorted({*self.table.touched(paths), *self.table.touched(new)})
+        none = new.limit(0)
+        self.table.change(touched, lambda old: self._last(none, new).unionByName(old.join(paths, "file_path", "left_anti").join(new.select("id"), "id", "left_anti").select(new.columns)))
+        return new.count()
 
     def by_id(self, key: str) -> DataFrame:
         return self.read().where(F.col("id") == key).limit(1)
 
     def by_file(self, path: str) -> DataFrame:
-        return self.read().where(F.col("file_path") == path)
+        """The chunks of a file, from its bucket only."""
+        at = self.table.touched(self.spark.createDataFrame([(path,)], "file_path string"))
+        return self.table.read(at).where(F.col("file_path") == path)
+
+    def _delete(self, gone) -> None:
+        """Drop the rows for which a condition is true; where it is null, as for a null path, they stay."""
+        hit = F.coalesce(gone, F.lit(False))
+        self.table.change(self.table.touched(self.read().where(hit)), lambda old: old.where(~hit))
 
     def delete_file(self, path: str) -> None:
-        _replace(self.read().where(F.col("file_path") != path), self.path)
+        self._delete(F.col("file_path") == path)
 
     def delete_prefix(self, prefix: str) -> tuple[int, int]:
         """(rows before, rows after)."""
-        old = self.read()
-        before = old.count()
-        _replace(old.where(~F.col("file_path").startswith(prefix)), self.path)
-        return before, self.read().count()
+        before = self.count()
+        self._delete(F.col("file_path").startswith(prefix))
+        return before, self.count()
 
     def clear(self) -> None:
-        _replace(self.spark.createDataFrame([], CHUNKS), self.path)
+        self.table.clear()
 
     def count(self) -> int:
         return self.read().count()
 
 
 class GraphStore:
-    """Tables of nodes and edges below a folder."""
+    """Tables of nodes and edges below a folder, nodes in buckets by id, edges by source."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _read(self, name: str, schema) -> DataFrame:
-        p = f"{self.path}/{name}"
-        return self.spark.read.schema(schema).parquet(p) if _exists(self.spark, p) else self.spark.createDataFrame([], schema)
+        self.node_table = Buckets(spark, f"{self.path}/nodes", NODES, F.col("id"), buckets)
+        self.edge_table = Buckets(spark, f"{self.path}/edges", EDGES, F.col("source_id"), buckets)
 
     def nodes(self) -> DataFrame:
-        return self._read("nodes", NODES)
+        return self.node_table.read()
 
     def edges(self) -> DataFrame:
-        return self._read("edges", EDGES)
+        return self.edge_table.read()
 
     def upsert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         if nodes is not None:
-            _replace(graph.upsert_nodes(self.nodes(), nodes), f"{self.path}/nodes")
+            new_n = keep(nodes)
+            self.node_table.change(self.node_table.touched(new_n), lambda old: graph.upsert_nodes(old, new_n))
         if edges is not None:
-            _replace(graph.upsert_edges(self.edges(), edges), f"{self.path}/edges")
+            new_e = keep(edges)
+            self.edge_table.change(self.edge_table.touched(new_e), lambda old: graph.upsert_edges(old, new_e))
+
+    def replace_files(self, paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> None:
+        """Upsert the graph of files (path); nodes of theirs that it does not hold any more go, with their edges."""
+        nodes, edges = keep(nodes), keep(edges)
+        old = self.nodes().join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
+        self._remove(old.select("id").join(nodes.select("id"), "id", "left_anti"))
+        self.upsert(nodes, edges)
+
+    def _remove(self, gone: DataFrame) -> None:
+        """Drop nodes by id, and the edges at them, the edges first."""
+        gone = keep(gone.distinct())
+        sources, targets = gone.select(F.col("id").alias("source_id")), gone.select(F.col("id").alias("target_id"))
+        e = self.edges()
+        hit = e.join(sources, "source_id", "left_semi").select("source_id").union(e.join(targets, "target_id", "left_semi").select("source_id"))
+        self.edge_table.change(self.edge_table.touched(hit), lambda old: old.join(sources, "source_id", "left_anti").join(targets, "target_id", "left_anti"))
+        self.node_table.change(self.node_table.touched(self.nodes().join(gone, "id", "left_semi")), lambda old: old.join(gone, "id", "left_anti"))
 
     def delete_prefix(self, prefix: str) -> dict[str, int]:
         """Counts before and after."""
-        n, e = self.nodes(), self.edges()
-        out = {"nodes_before": n.count(), "edges_before": e.count()}
-        n2, e2 = graph.without_prefix(n, e, prefix)
-        _replace(e2, f"{self.path}/edges")  # first, since it reads the old nodes
-        _replace(n2, f"{self.path}/nodes")
+        out = {"nodes_before": self.nodes().count(), "edges_before": self.edges().count()}
+        self._remove(graph.below_prefix(self.nodes(), prefix))
         return out | {"nodes_after": self.nodes().count(), "edges_after": self.edges().count()}
 
     def clear(self) -> None:
-        _replace(self.spark.createDataFrame([], NODES), f"{self.path}/nodes")
-        _replace(self.spark.createDataFrame([], EDGES), f"{self.path}/edges")
+        self.node_table.clear()
+        self.edge_table.clear()
 
     def stats(self) -> DataFrame:
         return graph.stats(self.nodes(), self.edges())

@@ -139,3 +139,47 @@ def test_rerank_features(spark):
     e = rerank.enhance(h, nodes, edges).first()
     assert e.related_nodes == 5 and e.related_edges == 5 and [x.name for x in e.related_functions] == ["bar", "foo"]
     assert rerank.enhance(h, nodes.limit(0), edges.limit(0)).first().related_nodes == 0
+
+
+def test_kept_index(spark, tmp_path):
+    from corpusmill.operators.bm25_index import Index
+
+    docs = lambda rows: bm25.documents(spark.createDataFrame(rows, "id int, content string"))
+    q = "beta beta alpha nowhere"
+
+    def agrees(index, rows):
+        got = {r.id: r.score for r in index.scores(bm25.one_query(spark, q)).collect()}
+        want = plain_bm25(rows, q)
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+        fresh = {r.token: (r.df, round(r.idf, 9)) for r in bm25.idf(docs(rows)).collect()}
+        assert {r.token: (r.df, round(r.idf, 9)) for r in index.terms().collect()} == fresh
+        assert index.stats().first()[:3] == bm25.vocabulary_stats(docs(rows)).first()[:3]
+
+    path = str(tmp_path / "ix")
+    index = Index(spark, path, buckets=3).build(docs(DOCS))
+    agrees(index, DOCS)
+    more = [(7, "beta gamma"), (8, None)]
+    agrees(index.add(docs(more)), DOCS + more)
+    changed = [(1, "omega alpha"), (8, "beta"), (9, "gamma gamma")]
+    now = [r for r in DOCS + more if r[0] not in (1, 8)] + changed
+    agrees(index.add(docs(changed)), now)
+    agrees(Index(spark, path), now)  # opened anew
+    left = [r for r in now if r[0] not in (6, 9)]
+    agrees(index.remove(spark.createDataFrame([(6,), (9,), (77,)], "id int")), left)
+    agrees(index.compact(), left)
+    assert [r.id for r in index.search(bm25.one_query(spark, "omega"), 3).collect()] == [1]
+    assert index.search(bm25.one_query(spark, "")).count() == 0 and index.search(bm25.one_query(spark, "nowhere")).count() == 0
+    assert {r.token: r.df for r in index.document_frequency(["alpha", "nowhere"]).collect()} == {"alpha": 3, "nowhere": 0}
+    assert Index(spark, str(tmp_path / "none")).search(bm25.one_query(spark, "beta")).count() == 0
+    assert Index(spark, str(tmp_path / "empty")).build(docs(DOCS).limit(0)).search(bm25.one_query(spark, "beta")).count() == 0
+
+
+def test_kept_index_asked_for_many_tokens(spark, tmp_path, monkeypatch):
+    from corpusmill.operators import bm25_index
+
+    docs = bm25.documents(spark.createDataFrame(DOCS, "id int, content string"))
+    index = bm25_index.Index(spark, str(tmp_path / "ix")).build(docs)
+    q = spark.createDataFrame([(i, t) for i, t in DOCS], "query_id int, query string")
+    few = sorted(tuple(r) for r in index.search(q).select("query_id", "id", "rank").collect())
+    monkeypatch.setattr(bm25_index, "NAMED", 1)
+    assert few and sorted(tuple(r) for r in index.search(q).select("query_id", "id", "rank").collect()) == few
