@@ -4,6 +4,7 @@ import ast
 import datetime as dt
 import time
 
+import numpy as np
 import pytest
 
 from corpusmill.llm import credentials as cr
@@ -36,6 +37,28 @@ def test_foreign_files(spark):
     assert ff.foreign(df.limit(0)).count() == 0
 
 
+def test_foreign_files_by_their_names_alone(spark):
+    import random
+
+    rng = random.Random(1)
+    words = "load read settings values path source reader parse rows check send build count token index write file open merge state".split()
+    name = lambda: "_".join(rng.sample(words, 2))
+
+    def hand(i):
+        body = "".join(f"def {name()}_{rng.choice(words)}({name()}):\n    {name()} = {name()}({rng.choice(words)})\n    if {name()}:\n        return {name()}.{rng.choice(words)}\n\n" for _ in range(rng.randint(4, 9)))
+        return f"import {name()}\n\n\n" + body
+
+    made = [(f"r/h{i}.py", "python", hand(i)) for i in range(200)]
+    template = lambda i: "".join(f"class {name().title().replace('_', '')}{j:03}:\n    _TAG = {j}\n    def get{j}(self): return self._f[{j}]\n\n" for j in range(20 + i))
+    made += [(f"r/{'gen/' if i < 10 else ''}t{i}.py", "python", template(i)) for i in range(20)]
+    df = files(spark, *made)
+    records, model = ff.measured(df)
+    got = {r.path: r.kind for r in ff.foreign(df).collect()}
+    assert got == {f"r/{'gen/' if i < 10 else ''}t{i}.py": "generated" for i in range(20)}  # those without a trace too
+    empty = ff.Model(model.tables, {}, {})
+    assert not [r for r in records.collect() if empty.kinds([r.language], np.asarray([r.numbers]), np.asarray([r.long]), np.asarray([r.bits]))[0]]
+
+
 
 def test_statements_below_the_head():
     model = ff.Model({}, {}, {})
