@@ -5,53 +5,93 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill import log
 from corpusmill.config import Config
 from corpusmill.functions import text as fx
-from corpusmill.operators import bm25, chunking, embed, fusion, graph, rerank
+from corpusmill.operators import bm25, chunking, embed, fusion, graph, rerank, vector
+from corpusmill.operators.bm25_index import Index
+from corpusmill.operators.ivf import IvfIndex
+from corpusmill.runtime import keep
 from corpusmill.sources import scan, store
 
 
 class Engine:
+    """Chunks, keyword index, vector lists and graph of one corpus below a folder."""
+
     def __init__(self, spark: SparkSession, folder: str, config: Config | None = None):
-        self.spark, self.config = spark, config or Config()
-        self.chunks = store.ChunkStore(spark, f"{folder}/chunks", self.config.embedding_dimension)
-        self.graph = store.GraphStore(spark, f"{folder}/graph")
+        self.spark, self.config, self.folder = spark, config or Config(), folder.rstrip("/")
+        c = self.config
+        log.setup(c.log_level, c.log_file)
+        self.chunks = store.ChunkStore(spark, f"{self.folder}/{c.collection_name}", c.embedding_dimension, c.store_buckets)
+        self.graph = store.GraphStore(spark, f"{self.folder}/graph", c.store_buckets)
+        self._settings = {"model": c.embedding_model, "host": c.embedding_host, "api_key": c.embedding_api_key}
 
     # ---- indexing
 
     def index_files(self, files: DataFrame) -> dict[str, int]:
-        """Chunk, embed and store files (path, language, size, file_type, content); indexing again replaces."""
-        cut = chunking.syntax_chunks(files)
-        cut = embed.embed(cut, name=self.config.embedding_provider, dimension=self.config.embedding_dimension)
-        n = self.chunks.insert(cut)
-        nodes, edges = graph.build(self.chunks.read())
-        self.graph.upsert(nodes, edges)
-        return {"files": files.count(), "chunks": n}
+        """Chunk, embed and store files (path, language, size, file_type, content); a file indexed again is replaced.
+
+        Files that are not among these stay as they are. Contents are read once, chunks cut and embedded once.
+        """
+        c = self.config
+        files = keep(files)
+        cut = chunking.chunks(files, c.chunk_fallback, c.chunk_size, c.chunk_overlap)
+        cut = keep(embed.embed(cut, name=c.embedding_provider, dimension=c.embedding_dimension, **self._settings))
+        paths = files.select("path").distinct()
+        old = keep(self.chunks.read().join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("id"))
+        n = self.chunks.replace_files(paths, cut)
+        self.graph.replace_files(paths, *graph.build(cut))
+        words = self.words()
+        if words.state.get("segments"):
+            words.remove(old.join(cut.select("id"), "id", "left_anti"))
+        words.add(bm25.documents(cut))
+        out = {"files": files.count(), "chunks": n}
+        log.logger.info("indexed %(files)d files as %(chunks)d chunks", out)
+        return out
 
     def index_codebase(self, root: str | None = None) -> dict[str, int]:
         return self.index_files(scan.load_content(scan.scan(self.spark, root or self.config.codebase_root, self.config)))
 
+    def words(self) -> Index:
+        """The kept keyword index."""
+        return Index(self.spark, f"{self.folder}/words", self.config.store_buckets)
+
+    def lists(self) -> IvfIndex:
+        """The inverted vector lists, as :meth:`build_lists` last made them."""
+        return IvfIndex(self.spark, f"{self.folder}/lists")
+
+    def build_lists(self) -> None:
+        """Make the inverted lists of all vectors anew; searches use them where ``ivf_lists`` is set."""
+        self.lists().build(self.chunks.read(), self.config.embedding_dimension, self.config.ivf_lists)
+
     # ---- search
 
     def _queries(self, query: str) -> DataFrame:
-        p = embed.provider(self.config.embedding_provider, self.config.embedding_dimension)
+        p = embed.provider(self.config.embedding_provider, self.config.embedding_dimension, **self._settings)
         return self.spark.createDataFrame([(0, query, p.embed([query])[0])], "query_id bigint, query string, vector array<float>")
 
     def search(self, query: str, top_k: int | None = None, use_graph: bool = True, use_reranking: bool = True) -> DataFrame:
         """Hits with their chunk, score and rank, and with the graph around them."""
-        k = self.config.top_k if top_k is None else top_k
+        c = self.config
+        k = c.top_k if top_k is None else top_k
         chunks, queries = self.chunks.read(), self._queries(query)
-        hits = fusion.hybrid(chunks, queries, k, self.config.vector_weight, self.config.bm25_weight, k1=self.config.bm25_k1, b=self.config.bm25_b)
+        lists = self.lists() if c.ivf_lists else None
+        if lists is not None and lists.state:
+            by_vector = lists.search(queries.select("query_id", "vector"), k, c.ivf_probes)
+        else:
+            by_vector = vector.search(chunks, queries.select("query_id", "vector"), k)
+        by_words = self.words().search(queries.select("query_id", "query"), k, c.bm25_k1, c.bm25_b)
+        hits = keep(fusion.fuse(by_vector, by_words, k, c.vector_weight, c.bm25_weight))
         nodes, edges = self.graph.nodes(), self.graph.edges()
         if use_graph and use_reranking:
             f = rerank.features(hits, chunks, nodes, edges, queries)
-            hits = hits.drop("score", "rank").join(rerank.rerank(hits, rerank.graph_score(f), k, self.config.rerank_threshold), ["query_id", "id"])
+            hits = hits.drop("score", "rank").join(rerank.rerank(hits, rerank.graph_score(f), k, c.rerank_threshold), ["query_id", "id"])
         if use_graph:
             hits = rerank.enhance(hits, nodes, edges)
         return fusion.with_chunks(hits, chunks.drop("embedding")).orderBy("rank")
 
     def search_in_file(self, file_path: str, query: str = "", top_k: int = 10) -> DataFrame:
-        return search_in_file(self.chunks.read(), file_path, query, top_k)
+        return search_in_file(self.chunks.by_file(file_path), file_path, query, top_k)
 
     # ---- graph
 
@@ -77,14 +117,16 @@ class Engine:
 
     def stats(self) -> dict:
         """Counts of the graph by type, of vectors, and the parameters and vocabulary of the keyword side."""
-        words = bm25.vocabulary_stats(bm25.documents(self.chunks.read()), self.config.bm25_k1, self.config.bm25_b).first().asDict()
+        words = self.words().stats(self.config.bm25_k1, self.config.bm25_b).first().asDict()
         return {"graph": [r.asDict() for r in self.graph.stats().collect()], "vectors": self.chunks.count(), "bm25": words, "rerank": {"threshold": self.config.rerank_threshold, "weights": rerank.WEIGHTS}}
 
     def clear(self) -> None:
+        self.words().remove(self.chunks.read().select("id"))
         self.chunks.clear()
         self.graph.clear()
 
     def clear_index(self, prefix: str) -> dict[str, int]:
+        self.words().remove(self.chunks.read().where(F.col("file_path").startswith(prefix)).select("id"))
         before, after = self.chunks.delete_prefix(prefix)
         return self.graph.delete_prefix(prefix) | {"vectors_before": before, "vectors_after": after}
 

@@ -19,15 +19,26 @@ class Config:
     pruned_directories: frozenset[str] = field(default=PRUNED)
     chunk_size: int = 1000
     chunk_overlap: int = 200
+    #: How files without syntax chunks are cut: "text", "line" or "none".
+    chunk_fallback: str = "text"
+    collection_name: str = "code_chunks"
+    store_buckets: int = 16
     embedding_provider: str = "hashing"
     embedding_dimension: int = 128
+    embedding_model: str = ""
+    embedding_host: str = ""
+    embedding_api_key: str = ""
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     vector_weight: float = 0.6
     bm25_weight: float = 0.4
     top_k: int = 10
     rerank_threshold: float = 0.5
+    ivf_lists: int = 0
+    ivf_probes: int = 10
     graph_storage_path: str = "graph.json"
+    log_level: str = "INFO"
+    log_file: str = ""
 
     @classmethod
     def from_env(cls, **given) -> Config:

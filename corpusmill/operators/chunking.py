@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fx
-from corpusmill.runtime import ship
+from corpusmill.operators import outline
+from corpusmill.runtime import keep, ship
 
 LINES_PER_CHUNK = 20
 #: Separators, coarse to fine, by language.
@@ -73,28 +74,43 @@ def python_spans(source: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Languages with syntax chunks: Python by its parser, the others by :mod:`corpusmill.operators.outline`.
+SYNTAX_LANGUAGES = ("python", "javascript", "typescript", "c", "cpp")
+
+
+def syntax_spans(source: str, language: str) -> list[tuple[str, int, int]]:
+    """(kind, first line, last line) of the functions, classes and methods of a file; none for broken source."""
+    return python_spans(source) if language == "python" else outline.blocks(source, language)
+
+
 def syntax_chunks(files: DataFrame) -> DataFrame:
-    """Functions and classes of Python files as chunks of whole lines; nested ones overlap their parents.
+    """Functions, classes and methods of files as chunks of whole lines; nested ones overlap their parents.
 
-    Files in other languages, without content, or that do not parse give none.
+    Python gives functions and classes, JavaScript and TypeScript methods, C and C++ functions. Files in other
+    languages, without content, or that do not parse give none.
     """
     ship(files.sparkSession)
-    rows = _ready(files).where(F.col("language") == "python").select("path", "content", "size", "file_type")
+    rows = _ready(files).where(F.col("language").isin(*SYNTAX_LANGUAGES)).select("path", "content", "size", "file_type", "language")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for path, content, size, kind in f.itertuples(index=False):
+            for path, content, size, kind, language in f.itertuples(index=False):
                 lines = content.split("\n")
-                for i, (node, a, b) in enumerate(python_spans(content)):
-                    out.append((path, "\n".join(lines[a - 1 : b]), a, b, node, i, size, kind))
-            yield pd.DataFrame(out, columns=["path", "content", "a", "b", "node", "i", "size", "kind"])
+                for i, (node, a, b) in enumerate(syntax_spans(content, language)):
+                    out.append((path, "\n".join(lines[a - 1 : b]), a, b, node, i, size, kind, language))
+            yield pd.DataFrame(out, columns=["path", "content", "a", "b", "node", "i", "size", "kind", "language"])
+
+    cut = rows.mapInPandas(run, "path string, content string, a int, b int, node string, i int, size bigint, kind string, language string")
+    return _records(cut, F.col("node"), F.col("node"))
 
-    cut = rows.mapInPandas(run, "path string, content string, a int, b int, node string, i int, size bigint, kind string")
-    meta = F.struct(F.col("size").alias("file_size"), F.col("kind").alias("file_type"), F.col("node").alias("ast_node_type"), F.col("i").alias("chunk_index"))
+
+def _records(cut: DataFrame, chunk_type: Column, node: Column) -> DataFrame:
+    """Chunk records of (path, content, a, b, i, size, kind, language)."""
+    meta = F.struct(F.col("size").alias("file_size"), F.col("kind").alias("file_type"), node.alias("ast_node_type"), F.col("i").alias("chunk_index"))
     return cut.select(
         chunk_id(F.col("path"), F.col("a"), F.col("b")).alias("id"), F.col("path").alias("file_path"), "content", F.col("a").alias("start_line"), F.col("b").alias("end_line"),
-        F.lit("python").alias("language"), F.col("node").alias("chunk_type"), meta.alias("metadata"),
+        "language", chunk_type.alias("chunk_type"), meta.alias("metadata"),
     )
 
 
@@ -139,20 +155,40 @@ def split_text(text: str, size: int = 1000, overlap: int = 200, separators: list
 
 
 def text_chunks(files: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(file_path, chunk_index, content, start_line, language): files cut by the separators of their language.
+    """Files cut by the separators of their language, as chunk records of the type text_chunk.
 
-    start_line is that of the first place at which the piece occurs, as in the line rule of chunks.
+    start_line is that of the first place at which the piece occurs, as in the line rule of chunks; end_line follows
+    from the lines of the piece. Of pieces with the same lines, and so the same id, the one of least chunk_index stands
+    in a store; here every piece is a row.
     """
     ship(files.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for path, content, language in f.itertuples(index=False):
+            for path, content, size_, kind, language in f.itertuples(index=False):
                 for i, piece in enumerate(split_text(content, size, overlap, SEPARATORS.get(language))):
-                    k = content.find(piece)
-                    out.append((path, i, piece, content.count("\n", 0, max(k, 0)) + 1, language))
-            yield pd.DataFrame(out, columns=["file_path", "chunk_index", "content", "start_line", "language"])
+                    a = content.count("\n", 0, max(content.find(piece), 0)) + 1
+                    out.append((path, piece, a, a + piece.count("\n"), i, size_, kind, language))
+            yield pd.DataFrame(out, columns=["path", "content", "a", "b", "i", "size", "kind", "language"])
+
+    rows = _ready(files).select("path", "content", "size", "file_type", "language")
+    cut = rows.mapInPandas(run, "path string, content string, a int, b int, i int, size bigint, kind string, language string")
+    return _records(cut, F.lit("text_chunk"), F.lit(None).cast("string"))
+
 
-    rows = _ready(files).select("path", "content", "language")
-    return rows.mapInPandas(run, "file_path string, chunk_index int, content string, start_line int, language string")
+def chunks(files: DataFrame, fallback: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Syntax chunks of files; files that have none are cut as text or by lines, or give nothing, by ``fallback``.
+
+    ``files`` must be kept: they are read once for syntax and once for the rest.
+    """
+    if fallback not in ("text", "line", "none"):
+        raise ValueError(f"unknown way of cutting: {fallback}")
+    own = syntax_chunks(files)
+    if fallback == "none":
+        return own
+    own = keep(own)
+    rest = files.join(own.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
+    cut = text_chunks(rest, size, overlap) if fallback == "text" else line_chunks(rest)
+    first = cut.groupBy("id").agg(F.min(F.struct("metadata.chunk_index", *[c for c in cut.columns if c != "id"])).alias("r"))
+    return own.unionByName(first.select("id", *[f"r.{c}" for c in cut.columns if c != "id"]))

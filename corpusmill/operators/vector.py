@@ -1,8 +1,8 @@
 """Exact vector search, in blocks of queries against all rows.
 
 A block of queries of checked size goes to every task; a task keeps the k best of its rows for each query,
-so what is shuffled is k rows a query and task, whatever the number of rows. More queries than a block
-holds are answered block after block.
+so what is shuffled is k rows a query and batch, whatever the number of rows. More queries than a block
+holds are answered block after block, one scan a block.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from corpusmill.operators.bm25 import top_k
 from corpusmill.runtime import ship
 
-#: Queries that go to a task at once.
-BLOCK = 4096
+#: Values of query vectors that go to the tasks at once (128 MB), and the most queries.
+BLOCK_VALUES, BLOCK = 1 << 24, 1 << 17
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,19 +29,49 @@ def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, values[offsets[ok][:, None] + np.arange(dims)] if len(ok) else np.zeros((0, dims))
 
 
+#: Queries that a task compares with its rows in one matrix product.
+AT_ONCE = 256
+#: Values that differ by less are told apart only by the exact distance, or tie.
+TIE = 1e-9
+
+
 def distances(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
     """Smaller is nearer: squared Euclidean distance, or minus the cosine (NaN where a norm is zero)."""
     if metric == "l2":
-        return ((q[:, None, :] - m[None, :, :]) ** 2).sum(2) if len(q) * len(m) * q.shape[1] < 4_000_000 else np.stack([((m - x) ** 2).sum(1) for x in q])
+        return np.stack([((m - x) ** 2).sum(1) for x in q]) if len(q) else np.zeros((0, len(m)))
     with np.errstate(invalid="ignore", divide="ignore"):
         return -(q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :])
 
 
+def nearest_rows(q: np.ndarray, m: np.ndarray, k: int, metric: str, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of ``m``, distances) of the k nearest of each query and of all that may tie with the k-th.
+
+    One matrix product finds the candidates; the Euclidean distance of these is then taken without its cancellation.
+    skip[i, j] tells that row j is no candidate of query i.
+    """
+    squares = (m**2).sum(1)
+    for at in range(0, len(q), AT_ONCE):
+        part = q[at : at + AT_ONCE]
+        own = (part**2).sum(1)
+        if metric == "l2":
+            rough = own[:, None] + squares[None, :] - 2 * (part @ m.T)
+            slack = TIE + 1e-12 * (own + squares[np.isfinite(squares)].max(initial=0.0))
+        else:
+            rough, slack = distances(part, m, metric), np.full(len(part), TIE)
+        rough = np.where(np.isnan(rough), np.inf, rough)
+        if skip is not None:
+            rough[skip[at : at + AT_ONCE]] = np.inf
+        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if 0 < k < m.shape[0] else np.full(len(part), np.inf)
+        for i, row in enumerate(rough):
+            good = np.flatnonzero((row <= edge[i] + slack[i]) & (row < np.inf))
+            yield good, ((m[good] - part[i]) ** 2).sum(1) if metric == "l2" else row[good]
+
+
 def search(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", key: str = "id", vector: str = "embedding", where=None, without_self: bool = False) -> DataFrame:
     """(query_id, id, distance or similarity, rank): the k nearest rows of every query.
 
     ``queries`` has (query_id, vector). ``where`` filters rows before scoring. Vectors of another length than
-    the query's and vectors with nulls are no candidates; under the cosine nor are those of norm zero. Ties
+    the query's and vectors with nulls or infinite values are no candidates; under the cosine nor are those of norm zero. Ties
     go to the smaller id.
     """
     ship(df.sparkSession)
@@ -51,8 +81,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", k
     q_kind = queries.schema["query_id"].dataType.simpleString()
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     queries = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
+    n, values = queries.agg(F.count("*"), F.sum(F.size("vector").cast("bigint"))).first()
+    blocks = max(1, -(-n // BLOCK), -(-(values or 0) // BLOCK_VALUES))
     out = None
     for i in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
@@ -69,18 +99,12 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", k
                         continue
                     ids = np.asarray(b.column(0).take(pa.array(at)).to_pylist(), object)
                     q = np.asarray([v for _, v in own], np.float64)
-                    d = distances(q, m, metric)
+                    same = np.asarray([qid for qid, _ in own], object)[:, None] == ids[None, :] if without_self else None
                     keys, hits, far = [], [], []
-                    for (qid, _), row in zip(own, d):
-                        good = np.flatnonzero(~np.isnan(row))
-                        if without_self:
-                            good = good[ids[good] != qid]
-                        if len(good) > k:
-                            edge = np.partition(row[good], k - 1)[k - 1]
-                            good = good[row[good] <= edge]  # all that tie with the k-th
+                    for (qid, _), (good, row) in zip(own, nearest_rows(q, m, k, metric, same)):
                         keys += [qid] * len(good)
                         hits += ids[good].tolist()
-                        far += row[good].tolist()
+                        far += row.tolist()
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.from_numpy_dtype(np.int64) if q_kind == "bigint" else None), pa.array(hits, b.schema.field(0).type), pa.array(far, pa.float64())], ["query_id", "id", "far"])
 
         found = rows.mapInArrow(run, f"query_id {q_kind}, id {kind}, far double")

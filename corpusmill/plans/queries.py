@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,11 +11,15 @@ from pyspark.sql.window import Window
 from corpusmill.api import search_in_file as in_file
 from corpusmill.functions import text as fx
 from corpusmill.operators import bm25, chunking, embed, entities, fusion, graph, rerank, vector
-from corpusmill.runtime import keep
+from corpusmill.operators.bm25_index import Index
+from corpusmill.operators.ivf import IvfIndex
+from corpusmill.runtime import keep, shared_dir
+from corpusmill.schemas import CHUNKS
+from corpusmill.sources.store import ChunkStore
 from corpusmill.sources.tables import latest, table
 from corpusmill.streaming import ingest
 
-QUERY = "token"
+QUERY, SEMANTIC, KEYWORD = "token", "explain the token queue", "class token queue"
 WORDS = "the stale index of the token queue is stale"
 PREFIX = "amber-ledger/"
 EMPTY_EDGES = "source_id string, target_id string, relationship_type string, properties map<string,string>"
@@ -54,12 +60,6 @@ def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def _searchable(spark: SparkSession, d: str) -> DataFrame:
-    """Chunk records; an unusable vector counts as none."""
-    c = chunks(spark, d, "content", "embedding", "file_path", "start_line")
-    return keep(c.withColumn("embedding", F.when(vector.usable(), F.col("embedding"))))
-
-
 def _seeds(c: DataFrame, n: int) -> DataFrame:
     """(number, vector): the vectors of the n smallest ids, as query vectors."""
     first = c.where(F.col("embedding").isNotNull()).select("id", "embedding").orderBy("id").limit(n)
@@ -74,30 +74,108 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+# ---------------------------------------------------------------- what is kept between queries
+
+_KEPT: dict[tuple, tuple] = {}
+
+
+def _kept(spark: SparkSession, d: str, kind: str, names: tuple[str, ...], make):
+    """What ``make(folder)`` gives, made once for the state of the tables ``names`` in this application.
+
+    An index is built once and asked often. It is made anew if a table was changed or the folder is gone.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def status(path: str):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        return fs.getFileStatus(p) if fs.exists(p) else None
+
+    stamp = tuple((s.getLen(), s.getModificationTime()) for s in (status(f"{d}/{n}.parquet") for n in names))
+    key = (spark.sparkContext.applicationId, d, kind, stamp)
+    if key not in _KEPT or status(_KEPT[key][0]) is None:
+        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        _KEPT[key] = (folder, make(folder))
+    return _KEPT[key][1]
+
+
+def _document_index(spark: SparkSession, d: str) -> Index:
+    return _kept(spark, d, "documents", ("documents",), lambda at: Index(spark, at).build(_docs(spark, d)))
+
+
+def _chunk_index(spark: SparkSession, d: str) -> tuple[DataFrame, Index]:
+    """(searchable chunk records, their keyword index)."""
+
+    def make(at: str):
+        c = chunks(spark, d, "content", "embedding", "file_path", "start_line")
+        c = c.withColumn("embedding", F.when(vector.usable(), F.col("embedding")))
+        c.write.parquet(f"{at}/chunks")
+        c = spark.read.schema(c.schema).parquet(f"{at}/chunks")
+        return c, Index(spark, f"{at}/words").build(bm25.documents(c))
+
+    return _kept(spark, d, "chunks", ("chunks",), make)
+
+
+def _built_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that indexing makes of the chunk records."""
+
+    def make(at: str):
+        out = []
+        for name, df in zip(("nodes", "edges"), _built(spark, d)):
+            df.write.parquet(f"{at}/{name}")
+            out.append(spark.read.schema(df.schema).parquet(f"{at}/{name}"))
+        return tuple(out)
+
+    return _kept(spark, d, "graph", ("chunks",), make)
+
+
 # ---------------------------------------------------------------- keyword search
 
 
+def bm25_index_stats(spark, d):
+    """Builds the index from the texts, and gives its statistics."""
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    return _rounded(Index(spark, folder).build(_docs(spark, d)).stats(), "avgdl")
+
+
+def bm25_incremental(spark, d):
+    """Scores after half of the documents were added to an index of the other half, of which a third changed in between."""
+    docs = _docs(spark, d)
+    late = F.col("id") % 2 == 0
+    stale = docs.where(~late | (F.col("id") % 3 == 0)).withColumn("tokens", F.when(late, F.array(F.lit("stale"), F.lit("words"))).otherwise(F.col("tokens"))).withColumn("dl", F.size("tokens"))
+    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}").build(stale).add(docs.where(late))
+    hits = index.scores(bm25.one_query(spark, WORDS)).where("score > 0")
+    return _rounded(hits, "score").select(F.col("id").alias("doc_id"), "score")
+
+
 def bm25_search(spark, d):
-    hits = bm25.search(_docs(spark, d), bm25.one_query(spark, WORDS), 10)
+    hits = _document_index(spark, d).search(bm25.one_query(spark, WORDS), 10)
     return _rounded(hits, "score").select(F.col("id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def bm25_scores(spark, d):
-    s = bm25.scores(_docs(spark, d), bm25.one_query(spark, WORDS)).where("score > 0")
+    s = _document_index(spark, d).scores(bm25.one_query(spark, WORDS)).where("score > 0")
     return _rounded(s, "score").select(F.col("id").alias("doc_id"), "score")
 
 
 def bm25_batch(spark, d):
-    hits = bm25.search(_docs(spark, d), _asked(spark, d), 10)
+    hits = _document_index(spark, d).search(_asked(spark, d), 10)
+    return _rounded(hits, "score").select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def bm25_all_queries(spark, d):
+    """Every search query of the documents against all documents."""
+    asked = table(spark, d, "documents").where("kind = 'search_query'").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    hits = _document_index(spark, d).search(asked, 10)
     return _rounded(hits, "score").select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def bm25_doc_freq(spark, d):
-    return bm25.document_frequency(_docs(spark, d))
+    return _document_index(spark, d).terms().select("token", "df")
 
 
 def bm25_idf(spark, d):
-    return _rounded(bm25.idf(_docs(spark, d)), "idf")
+    return _rounded(_document_index(spark, d).terms(), "idf")
 
 
 def bm25_vocab_stats(spark, d):
@@ -137,20 +215,36 @@ def _fused(hits):
     return _rounded(hits, *_FUSED).select("query_id", "id", *_FUSED, F.array_join("search_types", "+").alias("search_types"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def vector_ivf_exact(spark, d):
+    """Inverted lists, all of them opened: the exact answer."""
+    index = _kept(spark, d, "lists", ("embeddings",), lambda at: IvfIndex(spark, at).build(_vectors(spark, d), 64))
+    hits = index.search(_vector_queries(spark, d), 10, 1 << 20)
+    return _rounded(hits, "distance").select("query_id", F.col("id").alias("vec_id"), "distance", F.col("rank").cast("bigint").alias("rank"))
+
+
+def vector_ivf_topk(spark, d):
+    """Inverted lists, ten of them opened for a query; approximate."""
+    index = _kept(spark, d, "lists", ("embeddings",), lambda at: IvfIndex(spark, at).build(_vectors(spark, d), 64))
+    hits = index.search(_vector_queries(spark, d), 10)
+    return _rounded(hits, "distance").select("query_id", F.col("id").alias("vec_id"), "distance", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _hybrid(spark, d, queries, compat=False):
+    c, index = _chunk_index(spark, d)
+    return fusion.fuse(vector.search(c, queries.select("query_id", "vector"), 10), index.search(queries.select("query_id", "query"), 10), 10, compat=compat)
+
+
 def hybrid_search(spark, d):
-    c = _searchable(spark, d)
-    return _fused(fusion.hybrid(c, _one_query(c), 10))
+    return _fused(_hybrid(spark, d, _one_query(_chunk_index(spark, d)[0])))
 
 
 def hybrid_compat(spark, d):
-    c = _searchable(spark, d)
-    return _fused(fusion.hybrid(c, _one_query(c), 10, compat=True))
+    return _fused(_hybrid(spark, d, _one_query(_chunk_index(spark, d)[0]), compat=True))
 
 
 def hybrid_batch(spark, d):
-    c = _searchable(spark, d)
-    q = _asked(spark, d).withColumn("number", F.col("query_id") % 100).join(F.broadcast(_seeds(c, 100)), "number")
-    return _fused(fusion.hybrid(c, q.select("query_id", "query", "vector"), 10))
+    q = _asked(spark, d).withColumn("number", F.col("query_id") % 100).join(F.broadcast(_seeds(_chunk_index(spark, d)[0], 100)), "number")
+    return _fused(_hybrid(spark, d, q.select("query_id", "query", "vector")))
 
 
 # ---------------------------------------------------------------- files and chunks
@@ -194,7 +288,8 @@ def ast_chunks(spark, d):
 
 
 def text_split(spark, d):
-    return chunking.text_chunks(files(spark, d))
+    c = chunking.text_chunks(files(spark, d))
+    return c.select("id", "file_path", "content", "start_line", "end_line", "language", F.col("metadata.chunk_index").alias("chunk_index"))
 
 
 def embed_hash(spark, d):
@@ -254,8 +349,7 @@ def graph_related(spark, d):
 
 def graph_file_structure(spark, d):
     """For every file: its nodes, by type, with chunks found over CONTAINS."""
-    n, e = map(keep, _built(spark, d))
-    found, _ = graph.file_structure(n, e)
+    found, _ = graph.file_structure(*_built_graph(spark, d))
     return found.groupBy(F.col("start").alias("file_path"), "type").agg(F.count("*").alias("n"))
 
 
@@ -304,42 +398,81 @@ def prefix_delete(spark, d):
     return n.select(F.lit("node").alias("kind"), "id").union(e.select(F.lit("edge"), F.concat_ws(">", "source_id", "target_id", "relationship_type")))
 
 
+def edge_upsert_override(spark, d):
+    """Edges of repositories a to m, each with a mark, merged with all edges: the later value of a property stands."""
+    e = edges(spark, d)
+    mark = F.create_map(F.lit("mark"), F.lit("old"), F.lit("line"), F.lit("old"))
+    old = e.where(F.lower(F.substring("source_id", 1, 1)) <= "m").dropDuplicates(list(graph.EDGE_KEY)).select(*graph.EDGE_KEY, mark.alias("properties"))
+    merged = graph.upsert_edges(old, e)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda x: F.concat(x["key"], F.lit("="), F.coalesce(x["value"], F.lit("")))), ";")
+    return merged.select(*graph.EDGE_KEY, shown.alias("properties"))
+
+
+def chunk_delete_prefix(spark, d):
+    """Chunk records left in a store after a prefix was deleted; those without a path stay."""
+    c = chunks(spark, d, "file_path", "start_line", "end_line")
+    some = c.withColumn("file_path", F.when(F.coalesce("start_line", F.lit(0)) % 7 != 0, F.col("file_path")))
+    names = [f.name for f in CHUNKS]
+    st = ChunkStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
+    st.insert(some.select(*[F.col(n) if n in some.columns else F.lit(None).alias(n) for n in names]))
+    st.delete_prefix(PREFIX)
+    return st.read().select("id", "file_path")
+
+
+def chunk_reindex(spark, d):
+    """Chunk records left after the files of one repository were indexed again, now with their functions only."""
+    c = chunks(spark, d, "file_path", "start_line", "end_line", "chunk_type")
+    names = [f.name for f in CHUNKS]
+    st = ChunkStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
+    full = c.select(*[F.col(n) if n in c.columns else F.lit(None).alias(n) for n in names])
+    st.insert(full)
+    again = full.where(F.col("file_path").startswith(PREFIX))
+    st.replace_files(again.select(F.col("file_path").alias("path")), again.where("chunk_type = 'function_definition'"))
+    return st.read().select("id", "file_path", "chunk_type")
+
+
 # ---------------------------------------------------------------- reranking
 
 
 def _hits(spark, d):
-    c = _searchable(spark, d)
+    c, _ = _chunk_index(spark, d)
     q = _one_query(c)
-    return c, q, keep(fusion.hybrid(c, q, 10))
+    return c, q, keep(_hybrid(spark, d, q))
 
 
 def graph_enhance(spark, d):
     _, _, hits = _hits(spark, d)
-    n, e = map(keep, _built(spark, d))
-    out = rerank.enhance(hits, n, e)
+    out = rerank.enhance(hits, *_built_graph(spark, d))
     names = F.array_join(F.transform("related_functions", lambda x: x["name"]), ",")
     return out.select("id", F.col("related_nodes").cast("bigint").alias("related_nodes"), F.col("related_edges").cast("bigint").alias("related_edges"), names.alias("related_functions"))
 
 
 def rerank_features(spark, d):
     c, q, hits = _hits(spark, d)
-    n, e = map(keep, _built(spark, d))
-    f = rerank.features(hits, c, n, e, q)
+    f = rerank.features(hits, c, *_built_graph(spark, d), q)
     return _rounded(f, *rerank.WEIGHTS).select("id", *rerank.WEIGHTS)
 
 
+def rerank_features_calls(spark, d):
+    """The features and the score of every node of the graph with calls, methods and inheritance, as if all were hits."""
+    n, e = nodes(spark, d), edges(spark, d)
+    hits = n.select(F.lit(0).cast("bigint").alias("query_id"), "id")
+    content = files(spark, d).select(F.col("path").alias("id"), "content")
+    f = rerank.features(hits, content, n, e, spark.createDataFrame([(0, QUERY)], "query_id bigint, query string"))
+    return _rounded(f.join(rerank.graph_score(f), ["query_id", "id"]), *rerank.WEIGHTS, "graph_score").select("id", *rerank.WEIGHTS, "graph_score")
+
+
 def graph_rerank(spark, d):
     c, q, hits = _hits(spark, d)
-    n, e = map(keep, _built(spark, d))
-    out = rerank.rerank(hits, rerank.graph_score(rerank.features(hits, c, n, e, q)), 10)
+    out = rerank.rerank(hits, rerank.graph_score(rerank.features(hits, c, *_built_graph(spark, d), q)), 10)
     return _rounded(out, "score", "graph_score").select("id", "score", "graph_score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def _two(spark, d):
-    c = _searchable(spark, d)
-    q = _one_query(c)
+def _two(spark, d, query=QUERY):
+    c, index = _chunk_index(spark, d)
+    q = _one_query(c).withColumn("query", F.lit(query))
     v = vector.search(c, q.select("query_id", "vector"), 10).withColumnRenamed("distance", "score")
-    return v, bm25.search(bm25.documents(c), q.select("query_id", "query"), 10), q
+    return v, index.search(q.select("query_id", "query"), 10), q
 
 
 def conflict_detection(spark, d):
@@ -347,11 +480,23 @@ def conflict_detection(spark, d):
     return rerank.conflicts(v, b).select("id", "conflict", "vector_rank", "bm25_rank")
 
 
-def conflict_resolution(spark, d):
-    v, b, q = _two(spark, d)
+def _resolved(spark, d, query):
+    v, b, q = _two(spark, d, query)
     return _rounded(rerank.resolve(v, b, q), "score").select("id", "score", "search_type", "resolved", F.col("rank").cast("bigint").alias("rank"))
 
 
+def conflict_resolution(spark, d):
+    return _resolved(spark, d, QUERY)
+
+
+def conflict_semantic(spark, d):
+    return _resolved(spark, d, SEMANTIC)
+
+
+def conflict_keyword(spark, d):
+    return _resolved(spark, d, KEYWORD)
+
+
 # ---------------------------------------------------------------- streams
 
 

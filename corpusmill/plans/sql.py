@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusmill.functions import text as fx
 from corpusmill.operators import entities
 from corpusmill.operators.rerank import WEIGHTS
-from corpusmill.plans.queries import PREFIX, QUERY, WORDS
+from corpusmill.plans.queries import KEYWORD, PREFIX, QUERY, SEMANTIC, WORDS
 
 FILES = "f AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanned_at DESC) AS rn FROM files WHERE path IS NOT NULL) WHERE rn = 1)"
 CHUNKS = "c AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) AS rn FROM chunks WHERE id IS NOT NULL) WHERE rn = 1)"
@@ -113,7 +113,43 @@ _H = _hybrid(_ONE_VECTOR, 1)
 _CONFLICTS = """cf AS (SELECT query_id, id, CASE WHEN coalesce(v.rank <= 5, false) AND NOT coalesce(b.rank <= 5, false) THEN 'vector_high_bm25_low' WHEN coalesce(b.rank <= 5, false) AND NOT coalesce(v.rank <= 5, false) THEN 'bm25_high_vector_low' END AS conflict,
 coalesce(v.rank, (SELECT count(*) FROM vh)) AS vector_rank, coalesce(b.rank, (SELECT count(*) FROM kh)) AS bm25_rank FROM vh v FULL OUTER JOIN kh b USING (query_id, id))"""
 
+
+
+def _resolution(query: str, factor: str) -> str:
+    return _hybrid(f"SELECT number AS query_id, '{query}' AS query, vector FROM seeds", 1) + f""", {_CONFLICTS}, a AS (SELECT id, avg(score) AS score FROM (SELECT id, distance AS score FROM vh UNION ALL SELECT id, score FROM kh) GROUP BY id),
+z AS (SELECT a.id, a.score * CASE WHEN conflict IS NULL THEN 1 ELSE {factor} END AS score, CASE WHEN (SELECT count(conflict) FROM cf) > 0 THEN 'resolved' ELSE 'combined' END AS search_type, conflict IS NOT NULL AS resolved FROM a JOIN cf USING (id)),
+r AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM z) SELECT id, round(score, 6) AS score, search_type, resolved, rank FROM r WHERE rank <= 10"""
+
+
+#: The features over the graph of the tables, the longest path of calls by recursion over each node's own edges.
+_CALLS = f"""WITH RECURSIVE {FILES}, {NODES}, {EDGES}, w AS (SELECT * FROM e WHERE relationship_type IN ('CALLS', 'DEFINED_IN', 'CONTAINS', 'HAS_METHOD')),
+he AS (SELECT source_id AS start, w.* FROM w UNION SELECT target_id, w.* FROM w), hs AS (SELECT he.* FROM he JOIN n ON n.id = he.start),
+near AS (SELECT DISTINCT start, n.id, n.type FROM (SELECT start, source_id AS id FROM hs UNION SELECT start, target_id FROM hs) JOIN n USING (id)),
+nn AS (SELECT start, count(*) AS n_nodes, count(*) FILTER (type = 'Function' AND contains(lower(id), '{QUERY}')) AS fm, count(*) FILTER (type = 'Class' AND contains(lower(id), '{QUERY}')) AS cm FROM near GROUP BY start),
+dg AS (SELECT start, max(k) AS max_degree FROM (SELECT start, id, count(*) AS k FROM (SELECT start, source_id AS id FROM hs UNION ALL SELECT start, target_id FROM hs) GROUP BY ALL) GROUP BY start),
+ca AS (SELECT * FROM hs WHERE relationship_type = 'CALLS'),
+r AS (SELECT start, id AS at, 0 AS depth FROM near WHERE type = 'Function' AND id <> start UNION SELECT r.start, ca.target_id, r.depth + 1 FROM r JOIN ca ON ca.start = r.start AND ca.source_id = r.at WHERE r.depth < 11),
+fd AS (SELECT start, max(depth) AS depth FROM r GROUP BY start), ci AS (SELECT start, count(*) AS k FROM ca WHERE target_id = start GROUP BY start),
+ft AS (SELECT n.id, coalesce(max_degree / n_nodes, 0) AS degree_centrality, coalesce(fm, 0)::DOUBLE AS query_function_matches, coalesce(cm, 0)::DOUBLE AS query_class_matches, coalesce(fd.depth, 0)::DOUBLE AS function_depth, 0.0::DOUBLE AS class_hierarchy_depth, coalesce(ci.k / n_nodes, 0)::DOUBLE AS call_frequency, 0.0::DOUBLE AS inheritance_importance,
+CASE WHEN content IS NULL THEN 0.0 ELSE {_COMPLEXITY} END::DOUBLE AS code_complexity, CASE WHEN content IS NULL THEN 0.0 ELSE {_DOCUMENTATION} END::DOUBLE AS documentation_score
+FROM n LEFT JOIN f ON f.path = n.id LEFT JOIN nn ON nn.start = n.id LEFT JOIN dg ON dg.start = n.id LEFT JOIN fd ON fd.start = n.id LEFT JOIN ci ON ci.start = n.id)"""
+
 SQL: dict[str, str] = {
+    "bm25_index_stats": f"WITH {_DOCS(_ONE)} SELECT n AS documents, (SELECT count(*) FROM df) AS vocabulary, round(avgdl, 6) AS avgdl, 1.2::DOUBLE AS k1, 0.75::DOUBLE AS b FROM s",
+    "bm25_incremental": f"WITH {_DOCS(_ONE)} SELECT id AS doc_id, round(score, 6) AS score FROM sc WHERE score > 0",
+    "bm25_all_queries": f"""WITH {_DOCS("SELECT doc_id AS query_id, text AS query FROM documents WHERE kind = 'search_query'")} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM kh""",
+    "vector_ivf_exact": _nearest("l2"),
+    "edge_upsert_override": """WITH p AS (SELECT source_id, target_id, relationship_type, unnest(map_entries(properties)) AS kv FROM edges),
+o AS (SELECT DISTINCT source_id, target_id, relationship_type, unnest(['mark', 'line']) AS k FROM edges WHERE lower(substring(source_id, 1, 1)) <= 'm'),
+m AS (SELECT source_id, target_id, relationship_type, kv.key AS k, max(kv.value) AS v FROM p GROUP BY ALL),
+b AS (SELECT source_id, target_id, relationship_type, k, CASE WHEN m.k IS NOT NULL THEN m.v ELSE 'old' END AS v FROM m FULL OUTER JOIN o USING (source_id, target_id, relationship_type, k)),
+s AS (SELECT source_id, target_id, relationship_type, string_agg(k || '=' || coalesce(v, ''), ';' ORDER BY k) AS properties FROM b GROUP BY ALL), e AS (SELECT DISTINCT source_id, target_id, relationship_type FROM edges)
+SELECT e.*, coalesce(s.properties, '') AS properties FROM e LEFT JOIN s USING (source_id, target_id, relationship_type)""",
+    "chunk_delete_prefix": f"WITH {CHUNKS}, x AS (SELECT id, CASE WHEN coalesce(start_line, 0) % 7 <> 0 THEN file_path END AS file_path FROM c) SELECT * FROM x WHERE NOT coalesce(starts_with(file_path, '{PREFIX}'), false)",
+    "chunk_reindex": f"WITH {CHUNKS} SELECT id, file_path, chunk_type FROM c WHERE NOT coalesce(starts_with(file_path, '{PREFIX}'), false) OR chunk_type = 'function_definition'",
+    "rerank_features_calls": _CALLS + " SELECT id, " + ", ".join(f"round({c}, 6) AS {c}" for c in WEIGHTS) + f", round({_SCORE}, 6) AS graph_score FROM ft",
+    "conflict_semantic": _resolution(SEMANTIC, "CASE WHEN conflict = 'vector_high_bm25_low' THEN 1.0 ELSE 0.7 END"),
+    "conflict_keyword": _resolution(KEYWORD, "CASE WHEN conflict = 'bm25_high_vector_low' THEN 1.0 ELSE 0.7 END"),
     "bm25_search": f"WITH {_DOCS(_ONE)} SELECT id AS doc_id, round(score, 6) AS score, rank FROM kh",
     "bm25_scores": f"WITH {_DOCS(_ONE)} SELECT id AS doc_id, round(score, 6) AS score FROM sc WHERE score > 0",
     "bm25_batch": f"WITH {_DOCS(_ASKED)} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM kh",

@@ -111,7 +111,7 @@ def test_scan_and_engine(spark, tmp_path):
     loaded = {r.path: r.content for r in scan.load_content(found).collect()}
     assert set(loaded) == {"pkg/test_file.py", "pkg/_x/b.py", "README.md"} and "'a'" in loaded["pkg/_x/b.py"]
 
-    e = Engine(spark, str(tmp_path / "store"), Config(embedding_dimension=32))
+    e = Engine(spark, str(tmp_path / "store"), Config(embedding_dimension=32, chunk_fallback="none", store_buckets=3))
     assert e.index_codebase(str(root))["chunks"] == 7
     e.index_codebase(str(root))  # again: nothing doubles
     assert e.chunks.count() == 7
@@ -148,3 +148,109 @@ def test_store_rejects_and_exports(spark, tmp_path):
 def test_config(monkeypatch):
     monkeypatch.setenv("BM25_K1", "2.5")
     assert Config.from_env().bm25_k1 == 2.5 and Config.from_env(bm25_k1=0).bm25_k1 == 0 and Config.from_env(top_k=3).top_k == 3
+
+
+JS = """import {x} from "y";
+class A extends B {
+  constructor(a, {b, c} = {}) {
+    if (a) { this.b = b; }
+  }
+  async get(id) { return `}${id}`; }
+}
+function plain(a) { return /[}]/.test(a); }
+const o = {
+  go(a, b) {
+    use(a);
+  },
+};
+"""
+C = """#define M(a) do { a; } while (0)
+static int add(int a, int b)
+{
+    if (a) { return b; } /* } */
+    return a + b;
+}
+struct P { int x; };
+int table[] = {1, 2};
+int main(void) { char *s = "}{"; return 0; }
+"""
+
+
+def test_outline_of_brace_languages(spark):
+    from corpusmill.operators import outline
+
+    assert outline.blocks(JS, "javascript") == [("method_definition", 3, 5), ("method_definition", 6, 6), ("method_definition", 10, 12)]
+    assert outline.blocks(C, "c") == [("function_definition", 2, 6), ("function_definition", 9, 9)]
+    assert outline.blocks("namespace n {\nclass K {\npublic:\n  K(int a) : x(a) { }\n  int get() const { return x; }\n};\n}\n", "cpp") == [("function_definition", 4, 4), ("function_definition", 5, 5)]
+    assert outline.blocks("class A { m() {", "javascript") == [] and outline.blocks("", "c") == []
+    made = spark.createDataFrame([("a.js", JS, "javascript", 1, "code"), ("b.c", C, "c", 1, "code"), ("c.go", "package x\n", "go", 1, "code"), ("d.js", None, "javascript", 1, "code")], "path string, content string, language string, size bigint, file_type string")
+    got = {(r.file_path, r.start_line, r.end_line, r.chunk_type) for r in chunking.syntax_chunks(made).collect()}
+    assert got == {("a.js", 3, 5, "method_definition"), ("a.js", 6, 6, "method_definition"), ("a.js", 10, 12, "method_definition"), ("b.c", 2, 6, "function_definition"), ("b.c", 9, 9, "function_definition")}
+    every = {(r.file_path, r.chunk_type) for r in chunking.chunks(made).collect()}
+    assert ("c.go", "text_chunk") in every and ("a.js", "method_definition") in every and not any(p == "d.js" for p, _ in every)
+    assert {r.chunk_type for r in chunking.chunks(made, "line").where("file_path = 'c.go'").collect()} == {"line_chunk"}
+    with pytest.raises(ValueError):
+        chunking.chunks(made, "page")
+
+
+def chunk_rows(spark, *rows):
+    return spark.createDataFrame([(i, p, "x", 1, 2, "python", kind, None, None) for i, p, kind in rows], CHUNKS)
+
+
+def test_chunk_store_changes_in_part(spark, tmp_path, monkeypatch):
+    st = store.ChunkStore(spark, str(tmp_path / "c"), buckets=8)
+    st.insert(chunk_rows(spark, ("1", "a.py", "f"), ("2", "a.py", "f"), ("3", "b.py", "f"), ("4", None, "f"), ("5", "a/x.py", "f")))
+    first = st.table.versions.current()["where"]
+    st.insert(chunk_rows(spark, ("1", "a.py", "g"), ("6", "a.py", "g")))
+    now = st.table.versions.current()["where"]
+    assert sum(first[k] != now[k] for k in first) == 1  # only the bucket of a.py was written again
+    assert {r.id: r.chunk_type for r in st.read().collect()} == {"1": "g", "2": "f", "3": "f", "4": "f", "5": "f", "6": "g"}
+    st.replace_files(spark.createDataFrame([("a.py",)], "path string"), chunk_rows(spark, ("1", "a.py", "h"), ("7", "a.py", "h")))
+    assert {r.id: r.chunk_type for r in st.read().collect()} == {"1": "h", "3": "f", "4": "f", "5": "f", "7": "h"}
+    st.delete_file("b.py")
+    assert st.delete_prefix("a/") == (4, 3)
+    assert {r.id for r in st.read().collect()} == {"1", "4", "7"}  # a chunk without a path stays
+
+    # a failure before the manifest leaves the old state, one that another change overtakes is an error
+    monkeypatch.setattr(st.table.versions, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        st.insert(chunk_rows(spark, ("8", "a.py", "f")))
+    again = store.ChunkStore(spark, str(tmp_path / "c"))
+    assert {r.id for r in again.read().collect()} == {"1", "4", "7"} and again.table.buckets == 8
+    stale = again.table.versions.current()
+    again.insert(chunk_rows(spark, ("9", "a.py", "f")))
+    with pytest.raises(RuntimeError):
+        again.table.versions.commit({"where": {}}, stale)
+    assert again.count() == 4
+
+
+def test_reindexing_drops_what_a_file_no_longer_holds(spark, tmp_path):
+    one = lambda *rows: spark.createDataFrame([(p, c, "python", len(c), "code") for p, c in rows], "path string, content string, language string, size bigint, file_type string")
+    e = Engine(spark, str(tmp_path / "s"), Config(embedding_dimension=16, store_buckets=2, ivf_lists=2, log_file=str(tmp_path / "log" / "x.log")))
+    e.index_files(one(("a.py", "def old():\n    pass\n\n\ndef kept():\n    pass\n"), ("b.py", "def other():\n    old()\n")))
+    e.index_files(one(("a.py", "x = 1\n\n\ndef kept():\n    pass\n")))
+    assert {r.file_path: r.n for r in e.chunks.read().groupBy("file_path").agg(F.count("*").alias("n")).collect()} == {"a.py": 1, "b.py": 1}
+    assert not e.graph.nodes().where("id = 'a.py::old'").count() and e.graph.nodes().where("id = 'b.py::other'").count() == 1
+    assert e.graph.edges().where("source_id = 'a.py'").count() == 1
+    assert e.stats()["bm25"]["documents"] == 2 and e.stats()["vectors"] == 2
+    e.build_lists()
+    assert [h.file_path for h in e.search("other", 1).collect()] == ["b.py"]
+    assert (tmp_path / "log" / "x.log").read_text().count("indexed") == 2
+
+
+def test_embedding_providers(spark):
+    from corpusmill.operators import embed
+
+    class Letters:
+        def __init__(self, dimension, **settings):
+            self.dimension = dimension
+
+        def embed(self, texts):
+            return [[float(len(t))] * self.dimension for t in texts]
+
+    embed.register("letters", Letters, needs_key=True)
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id int, content string")
+    with pytest.raises(ValueError):
+        embed.embed(df, name="letters", dimension=2)
+    assert {r.id: r.embedding for r in embed.embed(df, name="letters", dimension=2, api_key="k").collect()} == {1: [3.0, 3.0], 2: None}
+    del embed.PROVIDERS["letters"]

@@ -11,7 +11,6 @@ from corpusmill.plans import registry
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-FAST = ["bm25_batch", "hybrid_search", "line_chunks", "code_metrics", "entity_list", "graph_nodes", "graph_node_details", "edge_upsert_merge", "vector_cosine_topk"]
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_twin(spark, duck, name):
     df = registry.QUERIES[name](spark, DIR)
     r = duck.execute(registry.SQL[name])

@@ -183,3 +183,23 @@ def test_kept_index_asked_for_many_tokens(spark, tmp_path, monkeypatch):
     few = sorted(tuple(r) for r in index.search(q).select("query_id", "id", "rank").collect())
     monkeypatch.setattr(bm25_index, "NAMED", 1)
     assert few and sorted(tuple(r) for r in index.search(q).select("query_id", "id", "rank").collect()) == few
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_inverted_lists(spark, tmp_path, metric):
+    from corpusmill.operators.ivf import IvfIndex
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(20, 8)) * 4
+    x = (middle[rng.integers(0, 20, 800)] + rng.normal(size=(800, 8))).round(3)
+    rows = [(f"{i:03}", v.tolist(), "x") for i, v in enumerate(x)]
+    df = vectors(spark, [*rows, ("none", None, "x"), ("short", [1.0], "x"), ("zero", [0.0] * 8, "x")])
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 800, 20)], "query_id bigint, vector array<float>")
+    exact = {(r.query_id, r.id): r.rank for r in vector.search(vectors(spark, rows), q, 10, metric).collect()}
+    index = IvfIndex(spark, str(tmp_path / metric)).build(df, 8, metric=metric)
+    assert {(r.query_id, r.id): r.rank for r in index.search(q, 10, 10_000).collect()} == exact  # all lists opened
+    again = IvfIndex(spark, str(tmp_path / metric))
+    found = {(r.query_id, r.id) for r in again.search(q, 10, 5).collect()}
+    assert again.state["rows"] == 800 and len(found & exact.keys()) >= 0.9 * len(exact)
+    assert index.search(q.limit(0)).count() == 0
+    assert IvfIndex(spark, str(tmp_path / "empty")).build(df.limit(0), 8).search(q).count() == 0
