@@ -4,14 +4,19 @@ Hierarchical k-means trees over unit vectors are fitted on bounded samples and t
 trees of different samples miss different neighbours, so together they need far fewer leaves than one.
 A query walks each tree best bin first: nodes wait in a priority queue by how much farther their centre
 is than the nearest centre of their level, and leaves are opened in that order while this margin is
-within a bound. The bound is the widening: it is read off a calibration that compares the margins at which
+within a bound. The queries of a block pop their queues together, a round a pop, and a query whose next node is
+beyond the bound leaves. The bound is the widening: it is read off a calibration that compares the margins at which
 true neighbours of some queries (brute force over all rows) lie in the tree with the recall asked for.
+
+The trees fitted on the driver stop at LEAVES_MOST leaves, so leaves grow with the collection; a leaf that
+grows large gets a tree of its own below it, fitted and calibrated by the task that searches the leaf.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +31,14 @@ from corpusmill.sources.tables import latest
 #: Rows a leaf is meant to hold, rows of the sample for each leaf, and the bound of the sample.
 LEAF_ROWS, SAMPLE_PER_LEAF, SAMPLE_MOST = 500, 64, 131_072
 TREES = 2
+#: Leaves of a tree fitted on the driver; a leaf with more members than LOCAL_ROWS is searched through a tree of its own.
+LEAVES_MOST, LOCAL_ROWS = SAMPLE_MOST // SAMPLE_PER_LEAF, 8_192
+#: Members whose true neighbours calibrate a leaf's own tree, and the recall asked for there.
+LOCAL_QUERIES, LOCAL_RECALL = 200, 0.995
 #: Queries of the calibration and the share of their true neighbours that the opened leaves must hold.
 CALIBRATION_QUERIES, TARGET_RECALL = 600, 0.985
 #: A leaf with more members, or more visitors, than these is searched in blocks by several tasks.
-MEMBERS_AT_ONCE, VISITORS_AT_ONCE = 16_384, 65_536
+MEMBERS_AT_ONCE, VISITORS_AT_ONCE = 131_072, 131_072
 
 
 # ---------------------------------------------------------------- vectors as bytes
@@ -123,15 +132,27 @@ class Tree:
         return np.maximum(np.maximum(there, above), 0)
 
     def visit(self, x: np.ndarray, widen: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of every leaf that the rows open, best bin first; each row's first leaf is its home."""
+        """(row, leaf) of every leaf that the rows open, best bin first; each row's first leaf is its home.
+
+        The queue of a row is its nodes in the order of their margins. In every round each row pops its next node, the
+        leaves below it join the queue, and rows whose next node is beyond the widening are done.
+        """
         top = self._far(x, self.top)
         over = top - top.min(1)[:, None]
         home = self.home(x)
         base = np.sqrt(((x - self.leaf[home]) ** 2).sum(1))
         rows, leaves, rank = [np.arange(len(x))], [home], [np.full(len(x), -1.0)]
-        for i in range(len(self.top)):  # every row whose queue would pop node i opens it here, as one block
-            own = np.flatnonzero(over[:, i] <= widen)
-            if own.size:
+        queue = np.argsort(over, axis=1, kind="stable")
+        live = np.arange(len(x))
+        for pops in range(len(self.top)):
+            node = queue[live, pops]
+            live = live[over[live, node] <= widen]
+            if not live.size:
+                break
+            node = queue[live, pops]
+            order = np.argsort(node, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(node[order]) > 0])
+            for own, i in zip(np.split(live[order], starts[1:]), node[order][starts].tolist()):
                 a, b = self.first[i], self.first[i + 1]
                 far = np.maximum(self._far(x[own], self.leaf[a:b]) - base[own][:, None], over[own, i][:, None])
                 r, c = np.nonzero(far <= widen)
@@ -215,6 +236,35 @@ def top_k(q: np.ndarray, m: np.ndarray, k: int, own: np.ndarray | None = None) -
     return at, np.round(np.take_along_axis(s, at, 1), TIE)
 
 
+def local_top_k(q: np.ndarray, m: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries, positions in ``m``, cosines) of :func:`top_k`, through a tree of the members of one large leaf.
+
+    The tree is fitted on a bounded sample of them; its widening is the margin at which it holds the neighbours of
+    some members, found by brute force within the leaf, with LOCAL_RECALL.
+    """
+    rng = np.random.default_rng(11)
+    leaves = max(2, min(len(m) // LEAF_ROWS, LEAVES_MOST))
+    tree = Tree(m[np.sort(rng.choice(len(m), min(len(m), leaves * SAMPLE_PER_LEAF), replace=False))], leaves)
+    home = tree.home(m)
+    order = np.argsort(home, kind="stable")
+    begin = np.searchsorted(home[order], np.arange(len(tree.leaf) + 1))
+    some = np.sort(rng.choice(len(m), min(len(m), LOCAL_QUERIES), replace=False))
+    near, _ = top_k(m[some], m, k, some)
+    widen = float(np.quantile(tree.margins(np.repeat(m[some], near.shape[1], 0), home[near.ravel()]), LOCAL_RECALL)) + 1e-6
+    for at in range(0, len(q), 4096):
+        part = np.arange(at, min(len(q), at + 4096))
+        row, leaf = tree.visit(q[part], widen)
+        by_leaf = np.argsort(leaf, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(leaf[by_leaf]) > 0]) if len(leaf) else np.zeros(0, int)
+        for rows, le in zip(np.split(row[by_leaf], starts[1:]), leaf[by_leaf][starts].tolist()):
+            inside = np.sort(order[begin[le] : begin[le + 1]])  # positions in the order of keys, for ties
+            if inside.size:
+                at_own = np.searchsorted(inside, own[part[rows]])
+                mine = np.where((own[part[rows]] >= 0) & (at_own < len(inside)) & (inside[np.minimum(at_own, len(inside) - 1)] == own[part[rows]]), at_own, -1)
+                found, cosine = top_k(q[part[rows]], m[inside], k, mine)
+                yield part[rows], inside[found], cosine
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -269,28 +319,43 @@ def _true_neighbours(vecs: DataFrame, keys: list[bytes], q: np.ndarray, k: int,
     return np.asarray([r.q for r in rows], np.int64), from_bytes([bytes(r.vec) for r in rows], dims)
 
 
-def _copies(vecs: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+def directions(blobs: list[bytes], dims: int) -> list[bytes]:
+    """A name of each vector's direction, to the fifth decimal of the unit vector: the same for vectors of different lengths.
+
+    Within that the cosine differs from 1 by less than single precision shows.
+    """
+    unit = np.round(from_bytes(blobs, dims).astype(np.float64), 5) + 0.0
+    return [blake2b(row.tobytes(), digest_size=16).digest() for row in unit]
+
+
+def _copies(vecs: DataFrame, k: int, dims: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows to index and search, neighbours of the rest or None).
 
-    Of equal vectors only the k + 1 smallest keys can be among anyone's neighbours, and a copy beyond
-    them has the k smallest as its own: it needs no search. So a vector that a third of all rows
+    Of vectors of one direction only the k + 1 smallest keys can be among anyone's neighbours, and one beyond
+    them has the k smallest as its own: it needs no search. So a direction that a third of all rows
     share costs a handful of rows in the tree.
     """
-    hashed = vecs.withColumn("h", F.xxhash64("vec"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(directions(b.column(1).to_pylist(), dims) if b.num_rows else [], pa.binary())], ["key", "vec", "h"])
+
+    hashed = vecs.mapInArrow(name, "key binary, vec binary, h binary")
     many = cut(hashed.groupBy("h").count().where(F.col("count") > k + 1).select("h"))
     n = many.count()
     if not n:
         return vecs, None
     side = F.broadcast(many) if n <= 20_000 else many
-    hot = hashed.join(side, "h", "left_semi").select("key", "vec")
-    rank = F.row_number().over(Window.partitionBy("vec").orderBy("key"))
+    hot = cut(hashed.join(side, "h", "left_semi").select("key", "h"))
+    # the window is limited in every task before anything is shuffled
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("key"))
     first = cut(hot.withColumn("r", rank).where(F.col("r") <= k + 1))
     rest = hot.join(first.select("key"), "key", "left_anti")
     salts = 64
-    near = first.where(F.col("r") <= k).groupBy("vec").agg(F.sort_array(F.collect_list("key")).alias("near"))
+    near = first.where(F.col("r") <= k).groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("near"))
     near = near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rest.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
-    found = salted.join(near, ["vec", "salt"]).select("key", "near")
+    found = salted.join(near, ["h", "salt"]).select("key", "near")
     return vecs.join(rest.select("key"), "key", "left_anti"), found
 
 
@@ -303,11 +368,11 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", version:
     """
     spark = df.sparkSession
     ship(spark)
-    vecs, copies = _copies(cut(_usable(df, key, version, vector, dims)), k)
+    vecs, copies = _copies(cut(_usable(df, key, version, vector, dims)), k, dims)
     if copies is not None:
         vecs = cut(vecs)
     n = vecs.count()
-    leaves = max(1, min(n // LEAF_ROWS, SAMPLE_MOST // SAMPLE_PER_LEAF))
+    leaves = max(1, min(n // LEAF_ROWS, LEAVES_MOST))
     samples = [_sample(vecs, max(4096, leaves * SAMPLE_PER_LEAF), n, 1 + i, dims)[1] for i in range(TREES if leaves > 1 else 1)]
     if leaves == 1:
         samples = [x[:1] if len(x) else np.ones((1, dims), np.float32) for x in samples]
@@ -369,11 +434,14 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", version:
             names = [keys[i] for i in member]
             where = {name: j for j, name in enumerate(names)}
             m = x[member]
-            for at in range(0, len(asking), 1024):
-                part = asking[at : at + 1024]
-                own = np.fromiter((where.get(keys[i], -1) for i in part), np.int64, len(part))
-                found, cosine = top_k(x[part], m, k + 8, own)
-                for i, f, c in zip(part.tolist(), found.tolist(), cosine.tolist()):
+            own = np.fromiter((where.get(keys[i], -1) for i in asking), np.int64, len(asking))
+            if len(member) > LOCAL_ROWS:
+                parts = local_top_k(x[asking], m, k + 8, own)
+            else:
+                blocks_ = [np.arange(at, min(len(asking), at + 1024)) for at in range(0, len(asking), 1024)]
+                parts = ((part, *top_k(x[asking[part]], m, k + 8, own[part])) for part in blocks_)
+            for part, found, cosine in parts:
+                for i, f, c in zip(asking[part].tolist(), found.tolist(), cosine.tolist()):
                     best = sorted((-s, names[j]) for j, s in zip(f, c) if s > -2)[:k]
                     out_keys.append(keys[i])
                     out_near.append([{"far": s, "key": name} for s, name in best])
