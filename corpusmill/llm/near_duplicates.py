@@ -29,6 +29,10 @@ from corpusmill.sources.tables import latest
 RUN, THRESHOLD = 4, 0.7
 #: 22 bands of 3 registers: at a similarity of 0.7 a pair is missed with probability 0.657 ** 22 = 0.0001.
 BANDS, ROWS = 22, 3
+#: A band value that more different texts share than this proposes no pairs; their features do, by an exact prefix filter.
+HOT_BAND = 256
+#: Members of a class of copies that one task pairs with all of the class.
+CLASS_AT_ONCE = 1_000
 
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]")
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -200,15 +204,27 @@ class NearDuplicates:
         hashed = reps.select("key", "bands").mapInArrow(unpack, "key binary, h bigint")
         order = Window.partitionBy("h").orderBy("key")
         shared = hashed.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("key").over(order))
-        shared = cut(shared.where((F.col("n") > 1) | F.col("next").isNotNull()).select("h", "key"))
+        shared = cut(shared.where((F.col("n") > 1) | F.col("next").isNotNull()).select("h", "key", "n"))
+
+        def lists_of(keys: DataFrame) -> DataFrame:
+            """(key, f): the feature lists of the records of some keys, from the row that is their record."""
+            asked = keys.join(signed.select("key", "version"), "key").select(F.col("key").alias("k"), F.col("version").alias("v"))
+            # null-safe: the latest row of a key that never had a version has none either
+            texts = rows_.join(asked, (F.col("key") == F.col("k")) & F.col("version").eqNullSafe(F.col("v")), "left_semi")
+            return cut(latest(texts, "key", "version", ["content"]).select("key", "content").mapInArrow(listed, "key binary, f array<bigint>"))
+
+        hot = shared.where(F.col("n") == HOT_BAND + 1).select("h")
+        n_hot = hot.count()
+        found = None
+        if n_hot:
+            hot = F.broadcast(hot) if n_hot <= 20_000 else hot
+            found = prefix_pairs(lists_of(cut(shared.join(hot, "h", "left_semi").select("key").distinct())), threshold)
+            shared = shared.join(hot, "h", "left_anti")
         a, b = shared.select("h", F.col("key").alias("a")), shared.select("h", F.col("key").alias("b"))
-        pairs = cut(a.join(b, "h").where("a < b").select("a", "b").distinct())
-        # features are listed only for the records of some proposed pair, from the row that is their record
-        asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        asked = asked.join(signed.select("key", "version"), "key").select(F.col("key").alias("k"), F.col("version").alias("v"))
-        # null-safe: the latest row of a key that never had a version has none either
-        texts = rows_.join(asked, (F.col("key") == F.col("k")) & F.col("version").eqNullSafe(F.col("v")), "left_semi")
-        lists = cut(latest(texts, "key", "version", ["content"]).select("key", "content").mapInArrow(listed, "key binary, f array<bigint>"))
+        proposed = a.join(b, "h").where("a < b").select("a", "b")
+        pairs = cut((proposed if found is None else proposed.unionByName(found)).distinct())
+        # features are listed only for the records of some proposed pair
+        lists = lists_of(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
         both = pairs.join(lists.select(F.col("key").alias("a"), F.col("f").alias("fa")), "a").join(lists.select(F.col("key").alias("b"), F.col("f").alias("fb")), "b")
         same = F.size(F.array_intersect("fa", "fb")).cast("double")
         self.links = cut(both.withColumn("same", same).withColumn("similarity", F.col("same") / (F.size("fa") + F.size("fb") - F.col("same"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity"))
@@ -217,9 +233,12 @@ class NearDuplicates:
         """(id_a, id_b): every pair of records at or above the threshold, copies included, each once."""
         m = self.members
         linked = self.links.join(m.select(F.col("rep").alias("a"), F.col("key").alias("x")), "a").join(m.select(F.col("rep").alias("b"), F.col("key").alias("y")), "b")
-        many = m.groupBy("rep").count().where(F.col("count") > 1).select("rep")
-        own = cut(m.join(many, "rep", "left_semi"))
-        within = own.select("rep", F.col("key").alias("x")).join(own.select("rep", F.col("key").alias("y")), "rep").where("x < y")
+        many = m.groupBy("rep").count().where(F.col("count") > 1)
+        # the pairs of a large class are made by as many tasks as it has thousands of members
+        own = cut(m.join(many, "rep").select("rep", "key", F.least(F.ceil(F.col("count") / CLASS_AT_ONCE), F.lit(4096)).cast("int").alias("parts")))
+        left = own.select("rep", F.col("key").alias("x"), F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"))
+        right = own.select("rep", F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        within = left.join(right, ["rep", "part"]).where("x < y")
         both = linked.select("x", "y").unionByName(within.select("x", "y"))
         named = both.select(plain("x").alias("x"), plain("y").alias("y"))
         return named.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -238,7 +257,24 @@ class NearDuplicates:
         return out.select(plain("key").alias("id"), plain("coalesce(label, rep)").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def prefix_pairs(lists: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: every pair of feature lists (key, f) that may reach the threshold, exactly, in any number of alike lists.
+
+    In an order of all features from rare to frequent, two lists of a similarity t or more share one of the first
+    n - ceil(t n) + 1 features of either. What all have in common, such as a licence, comes last and proposes nothing.
+    """
+    rows = lists.select("key", F.size("f").alias("n"), F.explode("f").alias("f"))
+    seen = rows.groupBy("f").agg(F.count("*").alias("df"))
+    ordered = rows.join(seen, "f").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "f"))).alias("fs"))
+    # the least overlap is taken a hair lower, so that rounding never shortens a prefix
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    first = cut(ordered.select("key", "n", F.explode(F.slice("fs", F.lit(1), length.cast("int"))).alias("e")).where(F.col("e.df") > 1).select("key", "n", F.col("e.f").alias("f")))
+    a, b = first.select("f", F.col("key").alias("a"), F.col("n").alias("na")), first.select("f", F.col("key").alias("b"), F.col("n").alias("nb"))
+    near = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.col("a") < F.col("b"))
+    return a.join(b, "f").where(near).select("a", "b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
     """(rep, label): the smallest node of each node's connected component, from links (a, b).
 
     Every round links each node's larger neighbours, and then its smaller ones, to the least of them;
@@ -246,7 +282,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     least neighbours come from combinable minima, never from collected lists.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(most_rounds):
+    while True:  # until a round changes nothing: labels only fall, so it ends
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -52,6 +52,37 @@ def test_queue_and_block_traversals_agree():
             assert set(own) == set(tree.visit_one(x[i], widen)) and own[0] == tree.home(x[i : i + 1])[0]
 
 
+def test_trees_below_large_leaves(spark, monkeypatch):
+    monkeypatch.setattr(sv, "LEAVES_MOST", 3)
+    monkeypatch.setattr(sv, "LEAF_ROWS", 60)
+    monkeypatch.setattr(sv, "LOCAL_ROWS", 200)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(120, 16))
+    x = (centres[rng.integers(0, 120, 2400)] + 0.2 * rng.normal(size=(2400, 16))).astype(np.float16).astype(np.float32)
+    names = [f"{i:032x}" for i in range(2400)]
+    got = {r.id: r.near for r in sv.nearest(frame(spark, [(n, v.tolist(), T) for n, v in zip(names, x)]), dims=16).collect()}
+    want = brute(names, x.astype(float), 5)
+    assert np.mean([len(set(got[n]) & set(want[n])) / 5 for n in names]) >= 0.95 and all(len(v) == 5 and n not in v for n, v in got.items())
+
+
+def test_rows_compared_do_not_grow_with_the_collection(monkeypatch):
+    monkeypatch.setattr(sv, "LEAF_ROWS", 50)
+
+    def compared(n):
+        rng = np.random.default_rng(4)
+        x = (rng.uniform(-1, 1, size=(n, 4)) @ rng.normal(size=(4, 16))).astype(np.float32)  # of one shape, only denser
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forest = sv.Forest([x[rng.choice(n, min(n, n // 50 * 64), replace=False)]], n // 50)
+        some = rng.choice(n, 200, replace=False)
+        near, _ = sv.top_k(x[some], x, 5, some)
+        widen = float(np.quantile(forest.widening(np.repeat(x[some], 5, 0), x[near.ravel()]), 0.985))
+        size = np.bincount(forest.homes(x), minlength=forest.size)
+        row, leaf, _ = forest.visit(x[some], widen)
+        return size[leaf].sum() / len(some)
+
+    assert compared(20_000) < 2.5 * compared(2_000)
+
+
 def test_unusable_ties_copies_versions(spark):
     one = [1.0, 0.0, 0.0, 0.0]
     rows = [(f"c{i:02}", one, T) for i in range(20)] + [("z1", [0.0, 1.0, 0.0, 0.0], T), ("z2", [0.0, 2.0, 1e-3, 0.0], T)]
@@ -144,6 +175,33 @@ def test_pairs_and_groups_against_brute_force(spark):
     assert none.pairs().count() == 0 and none.groups().count() == 0
 
 
+def test_hot_bands_are_answered_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    licence = [f"licence{i}" for i in range(60)]
+    words = [f"t{i}" for i in range(3000)]
+    texts = {f"r{i:03}": licence + rng.choice(words, 55).tolist() for i in range(150)}
+    texts |= {f"{k}v": [w if j != 70 else "edited" for j, w in enumerate(t)] for k, t in list(texts.items())[:30]}
+    other = {f"o{i:03}": rng.choice(words, 80).tolist() for i in range(40)}
+    rows = [(i, " ".join(t), T) for i, t in (texts | other).items()]
+    monkeypatch.setattr(nd, "HOT_BAND", 5)
+    s = {i: set(shingles(t)) for i, t, _ in rows}
+    want = {tuple(sorted(p)) for p in combinations(s, 2) if len(s[p[0]] & s[p[1]]) / len(s[p[0]] | s[p[1]]) >= 0.7}
+    found = nd.NearDuplicates(spark.createDataFrame(rows, "id string, content string, indexed_at timestamp_ntz"))
+    assert len(want) >= 30 and {(r.id_a, r.id_b) for r in found.pairs().collect()} == want
+    lists = spark.createDataFrame([(i.encode(), [hash(x) for x in f]) for i, f in s.items()], "key binary, f array<bigint>")
+    proposed = nd.prefix_pairs(lists, 0.7).count()
+    assert len(want) <= proposed < 0.05 * len(texts) ** 2  # what all have in common proposes nothing
+
+
+def test_pairs_of_a_large_class(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CLASS_AT_ONCE", 7)
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(f"{i:03}", text, T) for i in range(40)] + [(f"x{i}", text + f" more {i}", T) for i in range(3)]
+    found = nd.NearDuplicates(spark.createDataFrame(rows, "id string, content string, indexed_at timestamp_ntz"))
+    got = [(r.id_a, r.id_b) for r in found.pairs().collect()]
+    assert len(got) == len(set(got)) == 43 * 42 // 2
+
+
 def test_links_of_records_without_a_version(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [("a", text, None), ("b", text + " more", None), ("c", text + " other", T), ("c", "an outdated row of no version", None), ("d", text, None)]
