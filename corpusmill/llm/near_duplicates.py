@@ -204,7 +204,7 @@ class NearDuplicates:
         hashed = reps.select("key", "bands").mapInArrow(unpack, "key binary, h bigint")
         order = Window.partitionBy("h").orderBy("key")
         shared = hashed.withColumn("n", F.row_number().over(order)).withColumn("next", F.lead("key").over(order))
-        shared = cut(shared.where((F.col("n") > 1) | F.col("next").isNotNull()).select("h", "key", "n"))
+        shared = cut(shared.where((F.col("n") > 1) | F.col("next").isNotNull()).select("h", "key", (F.col("n") == HOT_BAND + 1).alias("hot")))
 
         def lists_of(keys: DataFrame) -> DataFrame:
             """(key, f): the feature lists of the records of some keys, from the row that is their record."""
@@ -213,7 +213,7 @@ class NearDuplicates:
             texts = rows_.join(asked, (F.col("key") == F.col("k")) & F.col("version").eqNullSafe(F.col("v")), "left_semi")
             return cut(latest(texts, "key", "version", ["content"]).select("key", "content").mapInArrow(listed, "key binary, f array<bigint>"))
 
-        hot = shared.where(F.col("n") == HOT_BAND + 1).select("h")
+        hot = shared.where("hot").select("h")
         n_hot = hot.count()
         found = None
         if n_hot:
