@@ -6,7 +6,7 @@ import ast
 import json
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,17 +41,30 @@ def python_statements(text: str) -> list[str]:
     return out
 
 
-def _parses(text: str) -> bool:
+def _parses(text: str) -> bool | None:
+    """None where the parser gives up on the depth of a text, which says nothing of its validity."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             ast.parse(text)
         return True
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
+    except (SyntaxError, ValueError):
         return False
+    except (MemoryError, RecursionError):
+        return None
 
 
-def python_valid(text: str) -> bool:
+def _all(verdicts: Iterable[bool | None]) -> bool | None:
+    """False if one is False, else None if one is None."""
+    known = True
+    for v in verdicts:
+        if v is False:
+            return False
+        known = known and v
+    return known
+
+
+def python_valid(text: str) -> bool | None:
     if text.startswith("\ufeff"):
         text = text[1:]
     if "\r" in text:
@@ -59,7 +72,7 @@ def python_valid(text: str) -> bool:
     if "\0" in text:
         return False
     if syntax_lex.sound(text, "python"):
-        return all(_parses(x) for x in python_statements(text) if x.strip())
+        return _all(_parses(x) for x in python_statements(text) if x.strip())
     return _parses(text)  # the exact check of what the lexer doubts
 
 
@@ -72,8 +85,43 @@ def json_valid(text: str) -> bool:
     try:
         json.loads(text, parse_constant=no)
         return True
-    except (ValueError, RecursionError):
+    except ValueError:
         return False
+    except RecursionError:
+        return _deep_json(text)
+
+
+_JSON_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\]:,])|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)')
+
+
+def _deep_json(text: str) -> bool:
+    """Strict JSON of any depth, by a stack of its own."""
+    stack: list[str] = []
+    wants = "value"  # what may come: value, first (value or ']'), key, first key (key or '}'), ':', next (',' or a closer), end
+    at, n = 0, len(text.rstrip(" \t\n\r"))
+    while at < n:
+        m = _JSON_TOKEN.match(text, at)
+        if not m or m.end() == at:
+            return False
+        at, mark, token = m.end(), m[1], m[0].lstrip(" \t\n\r")
+        if wants in ("value", "first") and mark in (None, "{", "["):
+            if mark:
+                stack.append(mark)
+                wants = "first key" if mark == "{" else "first"
+            else:
+                wants = "next" if stack else "end"
+        elif wants in ("key", "first key") and token[0] == '"':
+            wants = ":"
+        elif wants == ":" and mark == ":":
+            wants = "value"
+        elif wants == "next" and mark == ",":
+            wants = "key" if stack[-1] == "{" else "value"
+        elif mark and stack and (wants in ("next", "first") and mark == "]" and stack[-1] == "[" or wants in ("next", "first key") and mark == "}" and stack[-1] == "{"):
+            stack.pop()
+            wants = "next" if stack else "end"
+        else:
+            return False
+    return wants == "end"
 
 
 # ---------------------------------------------------------------- shell
@@ -93,7 +141,7 @@ def _shell_plain(text: str) -> str | None:
         line = lines[i]
         i += 1
         out.append(line)
-        if "<<" in line and "<<<" not in line and (m := _HEREDOC.search(re.sub(r"'[^']*'(?!\n)", lambda x: x[0], line))):
+        if "<<" in line and "<<<" not in line and (m := _HEREDOC.search(line)):
             word = m[2] or m[3] or m[4]
             while i < len(lines) and (lines[i].lstrip("\t") if m[1] else lines[i]) != word:
                 i += 1
@@ -280,7 +328,7 @@ def yaml_valid(text: str) -> bool:
         if rest[0] == "\t" and not plain_at:
             return False
         if plain_at is not None and indent > plain_at:
-            if not (re.match(r"- ", rest) and False) and not _YAML_KEY.match(rest):
+            if not _YAML_KEY.match(rest):
                 i += 1
                 continue
             return False  # a mapping inside a scalar
@@ -298,8 +346,6 @@ def yaml_valid(text: str) -> bool:
         while True:  # along "- - key: value"
             if rest[:1] == "-" and (len(rest) == 1 or rest[1] in " \t"):
                 if levels[-1][1] == "map" and levels[-1][0] == at:
-                    if len(levels) > 1 and False:
-                        return False
                     levels.append((at, "seq"))  # a sequence may stand at its key's indent
                 elif not levels[-1][1]:
                     levels[-1] = (at, "seq")
@@ -372,9 +418,20 @@ def valid(text: str, language: str) -> bool | None:
     if language in syntax_grammar.GRAMMARS:
         if _brace_valid(text, language):
             return True
-        if language in ("javascript", "typescript") and _REGEX.search(text):
-            # quotes and brackets inside regular expressions are none: judge again without them
-            return _brace_valid(_REGEX.sub(r'\1""', text), language)
+        # what seems broken is judged again without what the lexer does not know
+        if language in ("javascript", "typescript"):
+            # quotes and brackets inside regular expressions are none; templates hold expressions, and these templates
+            plain = _REGEX.sub(r'\1""', text)
+            if plain != text and _brace_valid(plain, language):
+                return True
+            if "`" in text:
+                flat = syntax_lex.without_templates(text)
+                flat = None if flat is None else _REGEX.sub(r'\1""', flat)
+                return flat is not None and _brace_valid(flat, language)
+        elif language == "rust" and 'r##' in text:
+            return _brace_valid(syntax_lex.without_raw_strings(text), language)
+        elif language in ("c", "cpp") and re.search(r"^\s*#\s*(?:else|elif)\b", text, re.M):
+            return _brace_valid(syntax_lex.one_branch(text, True), language) and _brace_valid(syntax_lex.one_branch(text, False), language)
         return False
     return None
 
@@ -388,37 +445,43 @@ def _brace_valid(text: str, language: str) -> bool:
     if text.startswith("#!"):
         text = "//" + text
     text = text.lstrip("\ufeff")
-    return syntax_lex.sound(text, language) and syntax_grammar.fault(syntax_lex.code_of(text, language), language) is None
+    sound, code = syntax_lex.read(text, language)
+    return sound and syntax_grammar.fault(code, language) is None
 
 
 def judged(df: DataFrame, key: str = "path", version: str = "scanned_at", language: str = "language", content: str = "content") -> DataFrame:
-    """(path, language, invalid) of every record with content and a language that has a grammar here.
+    """(path, language, invalid) of every record with content and language; invalid is null where no verdict is possible:
+    in languages without a grammar here, and where a parser gives up on the depth of a text.
 
     The record of a path is its row of the latest ``version``; rows are judged before that is settled, so content is
-    never shuffled. Null or empty content and null language are not judged.
+    never shuffled. Null or empty content and null language are left out.
     """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bad = []
+            seen, bad = [], []
             for lang, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 ok = valid(text, lang) if text and lang and lang not in NEVER else None
+                seen.append(bool(text and lang))
                 bad.append(None if ok is None else not ok)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bad, pa.bool_())], ["path", "version", "language", "invalid"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(seen, pa.bool_()), pa.array(bad, pa.bool_())], ["path", "version", "language", "seen", "invalid"])
 
     rows = df.select(F.col(key).alias("path"), F.col(version).alias("version"), F.col(language).alias("language"), F.col(content).alias("content"))
     kind = rows.schema["version"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"path string, version {kind}, language string, invalid boolean")
-    return latest(out, "path", "version").where(F.col("invalid").isNotNull()).select(F.col("path").alias(key), "language", "invalid")
+    out = rows.mapInArrow(run, f"path string, version {kind}, language string, seen boolean, invalid boolean")
+    return latest(out, "path", "version").where("seen").select(F.col("path").alias(key), "language", "invalid")
 
 
 def rates(df: DataFrame, **columns: str) -> DataFrame:
-    """(repository, language, files, invalid, rate); the repository is the first segment of the path."""
+    """(repository, language, files, judged, invalid, rate); the repository is the first segment of the path.
+
+    rate is the share of the files judged, null where none could be.
+    """
     j = judged(df, **columns)
     key = columns.get("key", "path")
     return (
         j.groupBy(F.split_part(F.col(key), F.lit("/"), F.lit(1)).alias("repository"), "language")
-        .agg(F.count("*").alias("files"), F.sum(F.col("invalid").cast("bigint")).alias("invalid"))
-        .withColumn("rate", F.col("invalid") / F.col("files"))
+        .agg(F.count("*").alias("files"), F.count("invalid").alias("judged"), F.count(F.when(F.col("invalid"), 1)).alias("invalid"))
+        .withColumn("rate", F.try_divide("invalid", "judged"))
     )

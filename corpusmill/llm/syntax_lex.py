@@ -215,5 +215,97 @@ def sound(text: str, language: str) -> bool:
     return good
 
 
-def code_of(text: str, language: str) -> str:
-    return describe(text, "code", LEXICONS[language]).code
+def read(text: str, language: str) -> tuple[bool, str]:
+    """(:func:`sound`, the code of the text), lexed once where the text is one piece."""
+    if len(text) > PIECE:
+        return sound(text, language), describe(text, "code", LEXICONS[language]).code
+    d = describe(text, "code", LEXICONS[language])
+    return d.state == "code" and not d.broken and brackets(d.code) == ("", ""), d.code
+
+
+_TEMPLATE_TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[`{}]", re.S)
+_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.S)
+
+
+def without_templates(text: str) -> str | None:
+    """JavaScript with each template literal as a list of a string and its expressions, nested ones too; None if one stays open."""
+    out: list[str] = []
+    stack: list[str] = []  # '{' of code, '$' of an expression inside a template
+    at = 0
+
+    def template(at: int) -> int:
+        """Read template text up to its end or its next expression; the position after, -1 if there is none."""
+        m = _TEMPLATE_TEXT.match(text, at)
+        out.append("\n" * m[0].count("\n"))
+        if text.startswith("`", m.end()):
+            out.append("]")
+            return m.end() + 1
+        if text.startswith("${", m.end()):
+            out.append(",(")
+            stack.append("$")
+            return m.end() + 2
+        return -1
+
+    while m := _TEMPLATE_TOKEN.search(text, at):
+        out.append(text[at : m.start()])
+        at, c = m.end(), m[0]
+        if c == "`":
+            out.append('[""')
+            at = template(at)
+        elif c == "}" and stack and stack[-1] == "$":
+            stack.pop()
+            out.append(")")
+            at = template(at)
+        else:
+            if c == "{":
+                stack.append(c)
+            elif c == "}" and stack:
+                stack.pop()
+            out.append(c)
+        if at < 0:
+            return None
+    out.append(text[at:])
+    return "".join(out)
+
+
+_RAW_STRING = re.compile(r'\bb?r(#{2,})".*?"\1', re.S)
+
+
+def without_raw_strings(text: str) -> str:
+    """Rust with the raw strings of two or more marks as empty strings; those of one are read as they stand."""
+    return _RAW_STRING.sub('""', text)
+
+
+def one_branch(text: str, first: bool) -> str:
+    """C with only the first, or only the last, branch of each conditional of the preprocessor, lines kept."""
+    out, stack = [], []  # of [whether this branch counts]
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        word = re.match(r"\s*#\s*(if|ifdef|ifndef|elif|else|endif)\b", line)
+        if not word:
+            out.append(line if all(stack) else "")
+            continue
+        if word[1].startswith("if"):
+            stack.append(first or not _has_else(lines, i))
+        elif word[1] in ("elif", "else") and stack:
+            stack[-1] = not first and word[1] == "else"
+        elif stack:
+            stack.pop()
+        out.append("")
+    return "\n".join(out)
+
+
+def _has_else(lines: list[str], at: int) -> bool:
+    """Whether the conditional that begins on a line has an else of its own."""
+    depth = 0
+    for line in lines[at:]:
+        m = re.match(r"\s*#\s*(if|ifdef|ifndef|else|endif)\b", line)
+        if m and m[1].startswith("if"):
+            depth += 1
+        elif m and m[1] == "endif":
+            depth -= 1
+            if not depth:
+                return False
+        elif m and depth == 1:
+            return True
+    return False
