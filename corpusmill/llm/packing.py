@@ -16,7 +16,7 @@ from corpusmill.runtime import cut, ship
 CAPACITY = 2048
 OPEN_BINS = 128
 #: Tokens that one task lays out: about this many by hash of the key, whatever the corpus holds.
-TOKENS_PER_GROUP = 1 << 23
+TOKENS_PER_GROUP = 1 << 21
 #: First-round groups whose unfinished containers are laid out again together.
 GROUPS_TOGETHER = 16
 
@@ -77,7 +77,7 @@ def pack(df: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: i
 
     Items of a group arrive ordered by key, so a rerun of a lost task gives the same containers. The
     containers still open at a group's end are emptied and laid out once more, together with those of
-    15 other groups and largest first. An item of size 0 (also null) has a null bin_id, since it takes no
+    15 other groups and largest first, with as many containers open as can have come together. An item of size 0 (also null) has a null bin_id, since it takes no
     space. Items beyond the capacity are cut as :func:`split_sizes` says; repeated keys are separate items.
     """
     spark = df.sparkSession
@@ -99,7 +99,7 @@ def pack(df: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: i
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "key", "piece_no"], ascending=[False, True, True], kind="stable")
-        bins = BestFit(capacity, len(pdf) + 1)
+        bins = BestFit(capacity, GROUPS_TOGETHER * open_bins)  # as many as can have come here
         at = [bins.put(n) for n in pdf["n"].tolist()]
         group = int(pdf["grp"].iloc[0]) if len(pdf) else 0
         pdf["bin_id"] = [(1 << 62) + (group << 32) + b for b in at]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import abuse, credentials, foreign_files, near_duplicates, packing, similar_vectors, splitting, syntax, tokens
+from corpusmill.llm.sql import SQL as SQL
 from corpusmill.sources.tables import table
 
 
@@ -67,6 +68,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("id", "piece_no", "start_line", "end_line")
 
 
+def p5_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.natural_pieces(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.judged(table(spark, sf_dir, "files")).where("invalid").select("path")
 
@@ -112,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_redacted_files": p4_redacted_files,
     "p4_redacted_chunks": p4_redacted_chunks,
     "p5_found": p5_found,
+    "p5_natural": p5_natural,
     "p6_found": p6_found,
     "p6_rates": p6_rates,
     "p7_ids": p7_ids,
@@ -120,6 +126,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
 }
-
-#: SQL twins of those queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}

@@ -1,14 +1,18 @@
 """Cutting oversized records at natural boundaries (problem 5).
 
-The separators form a hierarchy: a blank line (a section of code or a paragraph) is preferred, then a
-line end, and only inside a line that is over the limit by itself, characters. Pieces are packed
-greedily up to the limit and begin with a stated overlap of the piece before.
+The separators form a hierarchy: section, paragraph, line, sentence, word, character. A text over the limit is cut by the
+coarsest that it holds, what is still over the limit by the next, and so on; the parts are packed
+greedily up to the limit, and a piece begins with a stated overlap of the piece before: :func:`natural_points`.
+
+:func:`cut_points` is the rule of whole lines: a blank line is preferred, then a line end, and only inside a line
+that is over the limit by itself, characters.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -59,6 +63,63 @@ def cut_points(content: str, limit: int = LIMIT, floor: int = FLOOR, overlap: in
     return out
 
 
+#: Where a text may be cut, coarse to fine: after a match. Headings and outermost definitions begin sections.
+SEPARATORS = (
+    re.compile(r"\n(?=#{1,6} |(?:def|class|function|func|fn|impl|public|export|interface|struct|namespace|module)\b)|\n[^\S\n]*\n(?:[^\S\n]*\n)+"),
+    re.compile(r"\n[^\S\n]*\n"),
+    re.compile(r"\n"),
+    re.compile(r"[.!?;]['\")\]]*\s+|[\u3002\uff01\uff1f]"),
+    re.compile(r"\s+|[,:)\]}]"),
+)
+
+
+def natural_points(content: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """(first character, character after the last) of each piece, in order; every character is in some piece.
+
+    A piece has at most ``limit`` characters. The next one begins at the earliest line, sentence or word that leaves it
+    at most ``overlap`` characters of the piece before and room for what follows; else where that piece ends.
+    """
+    cuts = [[m.end() for m in p.finditer(content)] for p in SEPARATORS]
+
+    def parts(a: int, b: int, level: int) -> list[tuple[int, int]]:
+        if b - a <= limit:
+            return [(a, b)]
+        if level == len(cuts):
+            return [(x, min(x + limit, b)) for x in range(a, b, limit)]
+        own = cuts[level][bisect_right(cuts[level], a) : bisect_right(cuts[level], b - 1)]
+        ends = [a, *own, b]
+        return [q for x, y in zip(ends, ends[1:]) for q in parts(x, y, level + 1)]
+
+    fine = sorted({c for level in cuts[2:] for c in level})
+    out: list[tuple[int, int]] = []
+    todo = parts(0, len(content), 0) if content else []
+    i = 0
+    while i < len(todo):
+        start = todo[i][0]
+        if out:
+            end, least = out[-1][1], max(out[-1][1] - overlap, todo[i][1] - limit, out[-1][0] + 1)
+            k = bisect_right(fine, least - 1)
+            start = fine[k] if k < len(fine) and fine[k] <= end else end
+        while i < len(todo) and todo[i][1] - start <= limit:
+            i += 1
+        out.append((start, todo[i - 1][1]))
+    return out
+
+
+def natural_pieces(df: DataFrame, key: str = "id", version: str = "indexed_at", content: str = "content", first_line: str = "start_line", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, piece_no, start_line, end_line, from_char, to_char) of each record over the limit, cut by the whole hierarchy.
+
+    Records, nulls and what is shuffled are as in :func:`split_records`.
+    """
+
+    def points(text: str) -> list[tuple[int, int, int, int]]:
+        ends = [m.start() for m in re.finditer("\n", text)]
+        line = lambda at: bisect_right(ends, at - 1)
+        return [(line(a), line(max(a, b - 1)), a, b) for a, b in natural_points(text, limit, overlap)]
+
+    return _pieces(df, key, version, content, first_line, limit, points)
+
+
 def split_records(df: DataFrame, key: str = "id", version: str = "indexed_at", content: str = "content", first_line: str = "start_line", limit: int = LIMIT, floor: int = FLOOR, overlap: int = OVERLAP) -> DataFrame:
     """(key, piece_no, start_line, end_line, from_char, to_char) of each record whose content is over the limit.
 
@@ -66,12 +127,16 @@ def split_records(df: DataFrame, key: str = "id", version: str = "indexed_at", c
     content never crosses the network: only line numbers are shuffled, combined on the map side.
     Null content is no case; a null first line counts as 1; a null key is dropped; other columns are ignored.
     """
+    return _pieces(df, key, version, content, first_line, limit, lambda x: cut_points(x, limit, floor, overlap))
+
+
+def _pieces(df: DataFrame, key: str, version: str, content: str, first_line: str, limit: int, points: Callable[[str], list[tuple[int, int, int, int]]]) -> DataFrame:
     ship(df.sparkSession)
     pieces = pa.list_(pa.struct([(x, pa.int32()) for x in ("s", "e", "f", "t")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = [None if x is None else [dict(zip("seft", p)) for p in cut_points(x, limit, floor, overlap)] for x in batch.column(3).to_pylist()]
+            cuts = [None if x is None else [dict(zip("seft", p)) for p in points(x)] for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cuts, pieces)], ["key", "version", "first", "cuts"])
 
     kinds = {x: df.schema[x].dataType.simpleString() for x in (key, version)}

@@ -60,3 +60,36 @@ def test_operator(spark):
     assert [x[:3] for x in sorted(got["b"])] == [(i, 11 + a, 11 + b) for i, (a, b) in enumerate(brute(long))]
     assert sorted(got["e"]) == [(0, 1, 1, 0, 1000), (1, 1, 1, 800, 1800), (2, 1, 1, 1600, 2500)]
     assert splitting.split_records(df.limit(0)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab ,.\n#c\t"), max_size=400), st.integers(5, 60), st.integers(0, 20))
+def test_natural_pieces_cover_all_and_keep_the_limit(text, limit, overlap):
+    overlap = min(overlap, limit // 2)
+    got = splitting.natural_points(text, limit, overlap)
+    assert all(0 < b - a <= limit for a, b in got)
+    at = 0
+    for i, (a, b) in enumerate(got):
+        assert a <= at and (i == 0 or at - a <= overlap) and b > at and (i == 0 or a > got[i - 1][0])
+        at = b
+    assert at == len(text)
+
+
+def test_natural_pieces_cut_where_the_hierarchy_says():
+    cut = lambda t, n: [t[a:b] for a, b in splitting.natural_points(t, n, 0)]
+    assert cut("# One\ntext a\n# Two\ntext b\n", 18) == ["# One\ntext a\n", "# Two\ntext b\n"]
+    assert cut("para one\n\npara two\n\nthree", 12) == ["para one\n\n", "para two\n\n", "three"]
+    assert cut("First here. Second one. Third", 14) == ["First here. ", "Second one. ", "Third"]
+    assert cut("alpha beta gamma", 7) == ["alpha ", "beta ", "gamma"] and cut("abcdefgh", 3) == ["abc", "def", "gh"]
+    t = "one two three four five six seven"
+    got = splitting.natural_points(t, 15, 6)
+    assert [t[a:b] for a, b in got] == ["one two three ", "three four ", "four five six ", "six seven"]
+
+
+def test_natural_pieces_of_records(spark):
+    long = "def a():\n    pass\n\n\n" * 80
+    df = spark.createDataFrame([("x", long, 5, None), ("y", "short", 1, None), ("z", None, 1, None), (None, long, 1, None)], "id string, content string, start_line int, indexed_at timestamp_ntz")
+    rows = sorted(splitting.natural_pieces(df).collect(), key=lambda r: r.piece_no)
+    assert {r.id for r in rows} == {"x"} and rows[0].start_line == 5 and rows[-1].to_char == len(long)
+    assert all(long[r.from_char :].startswith("def") and r.to_char - r.from_char <= 1000 for r in rows)
+    assert splitting.natural_pieces(df.limit(0)).count() == 0
