@@ -72,9 +72,28 @@ _COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|<!--|;|%)")
 #: Beginnings by which services mark their tokens, in general form and the public well-known ones.
 _TAGGED = re.compile(r"^(?:gh[a-z]_[A-Za-z0-9]{16,}|github_pat_\w{16,}|glpat-[\w\-]{12,}|xox[a-z]-[\w\-]{12,}|[a-z]{2,12}_[a-z]{2,8}_(?=[A-Za-z]*\d)(?=[a-z0-9]*[A-Z])[A-Za-z0-9]{12,}|A[KS]IA[A-Z0-9]{12,}|AIza[\w\-]{20,}|SG\.[\w\-]{8,}\.[\w\-]{8,}|eyJ[\w\-]{6,}\.[\w\-]{6,}\.[\w\-]*|npm_[A-Za-z0-9]{16,}|pypi-[\w\-]{16,}|sk-[\w\-]{16,}|[sw]k_[a-z]+_[A-Za-z0-9]{8,}|ya29\.[\w\-]{16,}|dop_v1_[a-f0-9]{16,})")
 _PLACEHOLDER = re.compile(
-    r"^\s*$|^[x*.\-_#?0]+$|^<.*>?$|^\$?\{.*|^\$[A-Za-z_(]|^%\w+%$|change_?-?me|replace|placeholder|your[_\- ]|^your|example|dummy|redacted|set-?me|insert|todo|^n/?a$|^none$|^null$|^nil$|^true$|^false$|^undefined$|^test$|^vault:|^env[:.]|^secret:|^ssm:|^arn:|^file:|^op://|^ref:|^keychain",
+    r"^\s*$|^[x*.\-_#?0]+$|^<.*>?$|^\$?\{.*|^\$[A-Za-z_(]|^%\w+%$|^your|^n/?a$|^none$|^null$|^nil$|^true$|^false$|^undefined$|^test$|^vault:|^env[:.]|^secret:|^ssm:|^arn:|^file:|^op://|^ref:|^keychain",
     re.I,
 )
+#: Words that mark a placeholder, and those that stand beside them.
+_FILLS = re.compile(r"change|replace|placeholder|your|example|dummy|redacted|set|insert|todo", re.I)
+_FILLER = re.compile(
+    r"(?:change|replaced?|placeholder|your|our|my|example|dummy|redacted|set|insert|todo|me|it|this|that|with|before|after|here|key|token|secret|pass(?:word|phrase)?|pwd|api|auth|access|private|value|the|an?|real|user|"
+    r"name|login|client|service|account|string|for|only|not|in|is|at|to|of|by|use|used|own|use|text|data|some|any|new|old|com|org|net|id|on|do|deploy|prod|dev|local|testing?|s)+",
+    re.I,
+)
+
+
+def is_placeholder(value: str) -> bool:
+    """Whether a value only stands for another: by its form, or by a run of letters that is made of such words alone.
+
+    A run of letters that merely holds such a word, as one of a scrambled key may, is none.
+    """
+    if _PLACEHOLDER.search(value):
+        return True
+    return bool(_FILLS.search(value)) and any(_FILLS.search(run) and not re.fullmatch("set", run, re.I) and _FILLER.fullmatch(run) for run in re.findall("[A-Za-z]+", value))
+
+
 _IDENTIFIER = re.compile(r"^[A-Za-z][a-z]*(?:[_\-.: ][A-Za-z][a-z]*|[A-Z][a-z]+)*$")
 _HEX = re.compile(r"^(?:sha\d*-)?(?:0x)?[0-9a-f]+$|^[0-9A-F]+$|^sha\d+-")
 _UUID = re.compile(r"^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
@@ -130,7 +149,7 @@ def places(text: str) -> list[Place]:
             stop = end.start() if end else _KEY_LINES.match(text, m.end(), following).end()
             body = text[m.end() : stop]
             solid = re.sub(r"\\[nr]|[\s\"'+,.;)\\]", "", body)
-            if len(solid) >= 16 and not _PLACEHOLDER.search(solid[:40]) and re.match(r"[A-Za-z0-9+/=:\-]{16}", solid):
+            if len(solid) >= 16 and not is_placeholder(solid[:40]) and re.match(r"[A-Za-z0-9+/=:\-]{16}", solid):
                 found[m.start()] = Place("block", solid, [(m.end(), stop)], "private key", "")
     if "://" in low:
         for m in _ADDRESS.finditer(text):
@@ -275,7 +294,7 @@ def features(p: Place, path: str, table: np.ndarray) -> np.ndarray:
         float(bool(_ABOUT_NAME.search(name))),
         float(bool(_HARMLESS_NAME.search(name))),
         float(bool(_FROM_STORE.search(p.before))),
-        float(bool(_PLACEHOLDER.search(v))),
+        float(is_placeholder(v)),
         float(bool(_IDENTIFIER.match(v))),
         float(bool(_HEX.match(v)) and p.kind != "address"),
         float(bool(_UUID.match(v)) or v.startswith("data:") or "BEGIN" in v and "PRIVATE" not in v),
