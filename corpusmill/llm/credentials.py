@@ -31,6 +31,8 @@ from corpusmill.sources.tables import latest
 
 #: At most about this many records give places to fit on, and the least score of a credential.
 SAMPLE_RECORDS, LEAST = 12_000, 0.5
+#: At most this many different places of them are used, those of the smallest hash.
+PLACES_MOST = 400_000
 
 # ---------------------------------------------------------------- where a credential can be
 
@@ -427,17 +429,46 @@ def lines_of(text: str, at: list[int]) -> list[int]:
     return sorted({bisect_right(ends, a - 1) + 1 for a in at})
 
 
-def redact(text: str, model: Model, path: str, least: float = LEAST) -> str:
-    """The content with every credential's characters replaced by x, line ends and escapes kept."""
-    out = list(text)
-    for p, _ in model.found(text, path, least):
-        for a, b in p.parts:
-            for i in range(a, b):
-                if not (out[i] in "\n\r\\\"'`+" or i and text[i - 1] == "\\" and p.kind == "block") and (p.kind != "block" or not out[i].isspace()):
-                    out[i] = "x"
+#: An escape inside a literal; what follows stands for an x in each of its forms.
+_ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8})|x([0-9a-fA-F]{2})|([0-7]{3})|(.))", re.S)
+
+
+def _masked(value: str, block: bool) -> str:
+    """A value with x for its characters: as long, lines, quotes and escapes kept, a bare number still a number."""
+    if re.fullmatch(r"[0-9][0-9._]*", value):
+        return re.sub("[0-9]", "1", value)
+
+    def escape(m: re.Match) -> str:
+        for digits in m.groups()[:4]:
+            if digits:
+                return m[0][: m.start(m.lastindex) - m.start()] + "78".rjust(len(digits), "0")[-len(digits) :] + m[0][m.end(m.lastindex) - m.start() :]
+        return "\\170" if m[5] else m[0]
+
+    # in a key block, kept are also what joins its lines
+    kept = "\n\r\"'`" + ("+ \t.,;()" if block else "")
+    out, at = [], 0
+    for m in [*_ESCAPE.finditer(value), None]:
+        end = m.start() if m else len(value)
+        out.append("".join(c if c in kept or c == "\\" else "x" for c in value[at:end]))
+        if m:
+            out.append(escape(m))
+            at = m.end()
     return "".join(out)
 
 
+def redact(text: str, model: Model, path: str, least: float = LEAST) -> str:
+    """The content with every credential masked; it is as long as before and has the same lines."""
+    out, at = [], 0
+    spans = sorted((a, b, p.kind == "block") for p, _ in model.found(text, path, least) for a, b in p.parts)
+    for a, b, block in spans:
+        if b <= at:
+            continue
+        a = max(a, at)
+        out += [text[at:a], _masked(text[a:b], block)]
+        at = b
+    return "".join(out) + text[at:]
+
+
 # ---------------------------------------------------------------- the operator
 
 
@@ -487,7 +518,7 @@ def fit_model(tables: list[tuple[DataFrame, str, str]], content: str = "content"
     for part in parts:
         rows = part.mapInArrow(sampling, "of binary, kind string, label int, x array<double>, plain array<double>")
         sampled = rows if sampled is None else sampled.union(rows)
-    return Model.of(table, [tuple(r)[1:] for r in sorted(sampled.dropDuplicates(["of"]).collect())])
+    return Model.of(table, [tuple(r)[1:] for r in sorted(sampled.dropDuplicates(["of"]).orderBy("of").limit(PLACES_MOST).collect())])
 
 
 def find(df: DataFrame, model: Model, key: str, version: str, path: str, content: str = "content") -> DataFrame:
