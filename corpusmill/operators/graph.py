@@ -1,7 +1,9 @@
 """Property graph over DataFrames: building, upserts and traversals.
 
 Edges are never collected: traversals are semi joins of edges with the ids asked for, degrees and merges are
-aggregates that combine on the map side, so a node that a third of all edges touch is no hot spot.
+aggregates that combine on the map side. A node that a third of all edges touch meets them by broadcast, see
+:func:`corpusmill.runtime.join_hot`. The step of `k_hop` joins all starts that reach a node with all its edges, which
+is what it has to give; Spark's skew join splits it.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as fx
 from corpusmill.operators.entities import entities
-from corpusmill.runtime import cut
+from corpusmill.runtime import cut, join_hot
 from corpusmill.schemas import EDGE_TYPES
 
 NODE_COLUMNS = ("id", "type", "properties", "file_path", "line_number")
@@ -104,10 +106,10 @@ def of_types(edges: DataFrame, types: tuple[str, ...] | list[str] | None = None)
 
 def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(start, source_id, target_id, relationship_type): edges with an end among ``ids`` (id), one row a start."""
-    ids = ids.select(F.col("id").alias("start")).distinct()
-    out = edges.join(ids, edges["source_id"] == ids["start"]).select("start", *EDGE_KEY)
-    into = edges.join(ids, edges["target_id"] == ids["start"]).select("start", *EDGE_KEY)
-    return out.union(into).distinct()
+    ids = ids.select("id").distinct()
+    out = join_hot(edges.withColumn("id", F.col("source_id")), ids, "id")
+    into = join_hot(edges.withColumn("id", F.col("target_id")), ids, "id")
+    return out.unionByName(into).select(F.col("id").alias("start"), *EDGE_KEY).distinct()
 
 
 def ends(edges: DataFrame, *keep: str) -> DataFrame:
@@ -121,16 +123,16 @@ def related(nodes: DataFrame, edges: DataFrame, ids: DataFrame, types=EDGE_TYPES
     Ends without a node are left out; node types are not filtered.
     """
     near = ends(touching(of_types(edges, types), ids), "start")
-    return near.join(nodes.select("id", "type").distinct(), "id").select("start", "id", "type")
+    return join_hot(near, nodes.select("id", "type").distinct(), "id").select("start", "id", "type")
 
 
 def out_edges(nodes: DataFrame, edges: DataFrame, kind: str, ids: DataFrame | None = None) -> DataFrame:
     """(id, target_id, target_type): where the edges of one type lead, one hop; targets without a node have a null type."""
     e = of_types(edges, (kind,))
     if ids is not None:
-        e = e.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        e = join_hot(e, ids.select(F.col("id").alias("source_id")), "source_id", "left_semi")
     n = nodes.select(F.col("id").alias("target_id"), F.col("type").alias("target_type"))
-    return e.join(n, "target_id", "left").select(F.col("source_id").alias("id"), "target_id", "target_type")
+    return join_hot(e, n, "target_id", "left").select(F.col("source_id").alias("id"), "target_id", "target_type")
 
 
 def dependencies(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -151,7 +153,7 @@ def file_structure(nodes: DataFrame, edges: DataFrame, files: DataFrame | None =
     chunks = ends(first, "start").join(nodes.where(F.col("type") == "Chunk").select("id"), "id", "left_semi")
     second = touching(e, chunks).select(F.col("start").alias("id"), *EDGE_KEY).join(chunks, "id").select("start", *EDGE_KEY)
     all_edges = first.union(second).distinct()
-    return ends(all_edges, "start").join(nodes.select("id", "type").distinct(), "id"), all_edges
+    return join_hot(ends(all_edges, "start"), nodes.select("id", "type").distinct(), "id"), all_edges
 
 
 def details(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -178,16 +180,21 @@ def k_hop(edges: DataFrame, ids: DataFrame, hops: int, types=None, directed: boo
     e = of_types(edges, types).select("source_id", "target_id")
     if not directed:
         e = e.union(e.select("target_id", "source_id")).distinct()
-    e = cut(e)
-    seen = cut(ids.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
-    front = seen
+    e = cut(e.select(F.col("source_id").alias("id"), F.col("target_id").alias("next")))
+    front = cut(ids.select(F.col("id").alias("start"), "id", F.lit(0).alias("depth")).distinct())
+    fronts = [front]
     for depth in range(1, hops + 1):
-        step = front.join(e, front["id"] == e["source_id"]).select("start", F.col("target_id").alias("id")).distinct()
-        front = cut(step.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = front.select("start", "id").join(e, "id").select("start", F.col("next").alias("id")).distinct()
+        for seen in fronts:
+            step = step.join(seen.select("start", "id"), ["start", "id"], "left_anti")
+        front = cut(step.withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():
             break
-        seen = cut(seen.union(front))
-    return seen
+        fronts.append(front)
+    out = fronts[0]
+    for f in fronts[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def longest_path(edges: DataFrame, kind: str, most: int = 10) -> DataFrame:

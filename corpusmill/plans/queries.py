@@ -13,7 +13,7 @@ from corpusmill.functions import text as fx
 from corpusmill.operators import bm25, chunking, embed, entities, fusion, graph, rerank, vector
 from corpusmill.operators.bm25_index import Index
 from corpusmill.operators.ivf import IvfIndex
-from corpusmill.runtime import keep, shared_dir
+from corpusmill.runtime import keep, kept_dir
 from corpusmill.schemas import CHUNKS
 from corpusmill.sources.store import ChunkStore
 from corpusmill.sources.tables import latest, table
@@ -47,8 +47,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set: search queries whose id is divisible by 20."""
-    t = table(spark, d, "documents").where((F.col("kind") == "search_query") & (F.col("doc_id") % 20 == 0))
+    """The query set: every search query among the documents."""
+    t = table(spark, d, "documents").where("kind = 'search_query'")
     return t.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
@@ -94,7 +94,7 @@ def _kept(spark: SparkSession, d: str, kind: str, names: tuple[str, ...], make):
     stamp = tuple((s.getLen(), s.getModificationTime()) for s in (status(f"{d}/{n}.parquet") for n in names))
     key = (spark.sparkContext.applicationId, d, kind, stamp)
     if key not in _KEPT or status(_KEPT[key][0]) is None:
-        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        folder = f"{kept_dir(spark)}/index-{uuid.uuid4().hex}"
         _KEPT[key] = (folder, make(folder))
     return _KEPT[key][1]
 
@@ -134,7 +134,7 @@ def _built_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def bm25_index_stats(spark, d):
     """Builds the index from the texts, and gives its statistics."""
-    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    folder = f"{kept_dir(spark)}/index-{uuid.uuid4().hex}"
     return _rounded(Index(spark, folder).build(_docs(spark, d)).stats(), "avgdl")
 
 
@@ -143,7 +143,7 @@ def bm25_incremental(spark, d):
     docs = _docs(spark, d)
     late = F.col("id") % 2 == 0
     stale = docs.where(~late | (F.col("id") % 3 == 0)).withColumn("tokens", F.when(late, F.array(F.lit("stale"), F.lit("words"))).otherwise(F.col("tokens"))).withColumn("dl", F.size("tokens"))
-    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}").build(stale).add(docs.where(late))
+    index = Index(spark, f"{kept_dir(spark)}/index-{uuid.uuid4().hex}").build(stale).add(docs.where(late))
     hits = index.scores(bm25.one_query(spark, WORDS)).where("score > 0")
     return _rounded(hits, "score").select(F.col("id").alias("doc_id"), "score")
 
@@ -163,13 +163,6 @@ def bm25_batch(spark, d):
     return _rounded(hits, "score").select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def bm25_all_queries(spark, d):
-    """Every search query of the documents against all documents."""
-    asked = table(spark, d, "documents").where("kind = 'search_query'").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    hits = _document_index(spark, d).search(asked, 10)
-    return _rounded(hits, "score").select("query_id", F.col("id").alias("doc_id"), "score", F.col("rank").cast("bigint").alias("rank"))
-
-
 def bm25_doc_freq(spark, d):
     return _document_index(spark, d).terms().select("token", "df")
 
@@ -243,8 +236,11 @@ def hybrid_compat(spark, d):
 
 
 def hybrid_batch(spark, d):
-    q = _asked(spark, d).withColumn("number", F.col("query_id") % 100).join(F.broadcast(_seeds(_chunk_index(spark, d)[0], 100)), "number")
-    return _fused(_hybrid(spark, d, q.select("query_id", "query", "vector")))
+    """Every search query with a vector of its own: the k-th query by id has that of the k-th usable chunk by id."""
+    asked = keep(_asked(spark, d))
+    seeds = _seeds(_chunk_index(spark, d)[0], asked.count())
+    numbered = asked.withColumn("number", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("bigint"))
+    return _fused(_hybrid(spark, d, numbered.join(seeds, "number").select("query_id", "query", "vector")))
 
 
 # ---------------------------------------------------------------- files and chunks
@@ -370,10 +366,10 @@ def graph_degree(spark, d):
 
 
 def graph_khop(spark, d):
-    """What the callers of most functions reach over calls, three hops."""
+    """What every caller reaches over calls, three hops."""
     e = edges(spark, d)
-    start = graph.of_types(e, ("CALLS",)).groupBy(F.col("source_id").alias("id")).count().orderBy(F.desc("count"), "id").limit(20)
-    return graph.k_hop(e, start.select("id"), 3, ("CALLS",)).select("start", "id", F.col("depth").cast("bigint").alias("depth"))
+    start = graph.of_types(e, ("CALLS",)).select(F.col("source_id").alias("id")).distinct()
+    return graph.k_hop(e, start, 3, ("CALLS",)).select("start", "id", F.col("depth").cast("bigint").alias("depth"))
 
 
 def graph_call_depth(spark, d):
@@ -413,7 +409,7 @@ def chunk_delete_prefix(spark, d):
     c = chunks(spark, d, "file_path", "start_line", "end_line")
     some = c.withColumn("file_path", F.when(F.coalesce("start_line", F.lit(0)) % 7 != 0, F.col("file_path")))
     names = [f.name for f in CHUNKS]
-    st = ChunkStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
+    st = ChunkStore(spark, f"{kept_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
     st.insert(some.select(*[F.col(n) if n in some.columns else F.lit(None).alias(n) for n in names]))
     st.delete_prefix(PREFIX)
     return st.read().select("id", "file_path")
@@ -423,7 +419,7 @@ def chunk_reindex(spark, d):
     """Chunk records left after the files of one repository were indexed again, now with their functions only."""
     c = chunks(spark, d, "file_path", "start_line", "end_line", "chunk_type")
     names = [f.name for f in CHUNKS]
-    st = ChunkStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
+    st = ChunkStore(spark, f"{kept_dir(spark)}/index-{uuid.uuid4().hex}", buckets=16)
     full = c.select(*[F.col(n) if n in c.columns else F.lit(None).alias(n) for n in names])
     st.insert(full)
     again = full.where(F.col("file_path").startswith(PREFIX))

@@ -11,7 +11,7 @@ from corpusmill.plans.sql import SQL as SQL
 
 _NAMES = """
 bm25_search bm25_scores bm25_batch bm25_doc_freq bm25_idf bm25_vocab_stats query_type
-bm25_index_stats bm25_incremental bm25_all_queries vector_ivf_exact vector_ivf_topk
+bm25_index_stats bm25_incremental vector_ivf_exact vector_ivf_topk
 vector_l2_topk vector_l2_filtered vector_cosine_topk hybrid_search hybrid_compat hybrid_batch
 line_chunks chunk_id_md5 classify code_metrics chunk_lines entity_list ast_chunks text_split embed_hash
 text_contains text_contains_first search_in_file file_summary

@@ -33,7 +33,7 @@ kh AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION B
 
 
 _ONE = f"SELECT 0 AS query_id, '{WORDS}' AS query"
-_ASKED = "SELECT doc_id AS query_id, text AS query FROM documents WHERE kind = 'search_query' AND doc_id % 20 = 0"
+_ASKED = "SELECT doc_id AS query_id, text AS query FROM documents WHERE kind = 'search_query'"
 _DOCS = lambda q: _bm25("documents", "doc_id", "text", q)
 
 
@@ -51,7 +51,7 @@ SELECT query_id, vec_id, round(value, 6) AS {name}, rank FROM r WHERE rank <= 10
 _FINE = "embedding IS NOT NULL AND len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = 128 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 
 
-def _hybrid(queries: str, seeds: int, nearness: str = "-distance") -> str:
+def _hybrid(queries: str, seeds: int | str, nearness: str = "-distance") -> str:
     """CTEs up to fu(query_id, id, score, vector_score, bm25_score, search_types, rank)."""
     return f"""WITH {CHUNKS}, u AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM c WHERE {_FINE}),
 seeds AS (SELECT row_number() OVER (ORDER BY id) - 1 AS number, v AS vector FROM (SELECT * FROM u ORDER BY id LIMIT {seeds})),
@@ -137,7 +137,6 @@ FROM n LEFT JOIN f ON f.path = n.id LEFT JOIN nn ON nn.start = n.id LEFT JOIN dg
 SQL: dict[str, str] = {
     "bm25_index_stats": f"WITH {_DOCS(_ONE)} SELECT n AS documents, (SELECT count(*) FROM df) AS vocabulary, round(avgdl, 6) AS avgdl, 1.2::DOUBLE AS k1, 0.75::DOUBLE AS b FROM s",
     "bm25_incremental": f"WITH {_DOCS(_ONE)} SELECT id AS doc_id, round(score, 6) AS score FROM sc WHERE score > 0",
-    "bm25_all_queries": f"""WITH {_DOCS("SELECT doc_id AS query_id, text AS query FROM documents WHERE kind = 'search_query'")} SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM kh""",
     "vector_ivf_exact": _nearest("l2"),
     "edge_upsert_override": """WITH p AS (SELECT source_id, target_id, relationship_type, unnest(map_entries(properties)) AS kv FROM edges),
 o AS (SELECT DISTINCT source_id, target_id, relationship_type, unnest(['mark', 'line']) AS k FROM edges WHERE lower(substring(source_id, 1, 1)) <= 'm'),
@@ -162,7 +161,7 @@ SELECT e.*, coalesce(s.properties, '') AS properties FROM e LEFT JOIN s USING (s
     "vector_cosine_topk": _nearest("cosine"),
     "hybrid_search": _H + _FUSED,
     "hybrid_compat": _hybrid(_ONE_VECTOR, 1, "distance") + _FUSED,
-    "hybrid_batch": _hybrid(f"SELECT query_id, query, vector FROM ({_ASKED}) a JOIN seeds ON seeds.number = a.query_id % 100", 100) + _FUSED,
+    "hybrid_batch": _hybrid(f"SELECT query_id, query, vector FROM (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS number FROM ({_ASKED})) a JOIN seeds USING (number)", f"(SELECT count(*) FROM ({_ASKED}))") + _FUSED,
     "line_chunks": f"""WITH {FILES}, l AS (SELECT path, language, string_split(content, chr(10)) AS lines FROM f WHERE content <> '' AND language IS NOT NULL),
 x AS (SELECT *, unnest(range(0, len(lines), 20)) AS pos FROM l)
 SELECT md5(path || ':' || (pos + 1) || '-' || least(pos + 20, len(lines))) AS id, path AS file_path, array_to_string(lines[pos + 1:pos + 20], chr(10)) AS content, (pos + 1)::INT AS start_line, least(pos + 20, len(lines))::INT AS end_line, language, (pos // 20)::INT AS chunk_index FROM x""",
@@ -187,7 +186,7 @@ x AS (SELECT start, source_id AS id FROM b UNION SELECT start, target_id FROM b)
     "graph_hierarchy": f"WITH {EDGES}, {NODES} SELECT e.source_id AS id, e.target_id, n.type AS target_type FROM e LEFT JOIN n ON n.id = e.target_id WHERE relationship_type = 'INHERITS_FROM'",
     "graph_node_details": f"WITH {EDGES}, {NODES}, i AS (SELECT target_id AS id, count(*) AS k FROM e GROUP BY 1), o AS (SELECT source_id AS id, count(*) AS k FROM e GROUP BY 1), m AS (SELECT id, count(DISTINCT other) FILTER (other <> id) AS k FROM (SELECT source_id AS id, target_id AS other FROM e UNION ALL SELECT target_id, source_id FROM e) GROUP BY 1) SELECT n.id, n.type, coalesce(i.k, 0) AS in_degree, coalesce(o.k, 0) AS out_degree, coalesce(m.k, 0) AS neighbours FROM n LEFT JOIN i USING (id) LEFT JOIN o USING (id) LEFT JOIN m USING (id)",
     "graph_degree": f"WITH {EDGES} SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e) GROUP BY id",
-    "graph_khop": f"""WITH RECURSIVE {EDGES}, k AS (SELECT source_id, target_id FROM e WHERE relationship_type = 'CALLS'), st AS (SELECT source_id AS id FROM k GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 20),
+    "graph_khop": f"""WITH RECURSIVE {EDGES}, k AS (SELECT source_id, target_id FROM e WHERE relationship_type = 'CALLS'), st AS (SELECT DISTINCT source_id AS id FROM k),
 r AS (SELECT id AS start, id, 0::BIGINT AS depth FROM st UNION SELECT r.start, k.target_id, r.depth + 1 FROM r JOIN k ON k.source_id = r.id WHERE r.depth < 3) SELECT start, id, min(depth) AS depth FROM r GROUP BY ALL""",
     "graph_call_depth": f"""WITH RECURSIVE {EDGES}, k AS (SELECT source_id, target_id FROM e WHERE relationship_type = 'CALLS'),
 r AS (SELECT DISTINCT source_id AS id, source_id AS at, 0::BIGINT AS depth FROM k UNION SELECT r.id, k.target_id, r.depth + 1 FROM r JOIN k ON k.source_id = r.at WHERE r.depth < 11) SELECT id, max(depth) AS depth FROM r GROUP BY id""",

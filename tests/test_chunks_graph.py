@@ -254,3 +254,19 @@ def test_embedding_providers(spark):
         embed.embed(df, name="letters", dimension=2)
     assert {r.id: r.embedding for r in embed.embed(df, name="letters", dimension=2, api_key="k").collect()} == {1: [3.0, 3.0], 2: None}
     del embed.PROVIDERS["letters"]
+
+
+def test_one_node_with_a_third_of_all_edges(spark, monkeypatch):
+    from corpusmill import runtime
+
+    n = nodes(spark, ("hub", "Class"), *[(f"x{i:03}", "Function") for i in range(90)])
+    e = edges(spark, *[(f"x{i:03}", "hub", "CALLS", None) for i in range(45)], *[(f"x{i:03}", f"x{i + 1:03}", "CALLS", None) for i in range(89)], ("x000", "gone", "CALLS", None))
+    ask = lambda: [
+        sorted(map(tuple, df.collect()), key=repr)
+        for df in (graph.related(n, e, n.select("id")), graph.dependencies(n, e), graph.dependencies(n, e, n.select("id").limit(40)), graph.k_hop(e, n.select("id"), 3), graph.touching(graph.of_types(e), n.select("id")))
+    ]
+    plain = ask()
+    monkeypatch.setattr(runtime, "HOT_BYTES", 0)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 20)
+    assert ask() == plain
+    assert len(runtime.join_hot(e, n.select(F.col("id").alias("target_id")), "target_id", "left_anti").collect()) == 1

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from corpusmill import runtime
 from corpusmill.sources.tables import latest
@@ -24,6 +25,10 @@ def test_latest(spark):
 def test_keep_and_cut(spark):
     df = spark.range(10)
     assert runtime.keep(df).count() == 10 and runtime.cut(df).count() == 10
+    folder = runtime.kept_dir(spark).removeprefix("file:")
+    assert os.listdir(folder)
+    runtime.clean(spark)
+    assert not os.path.exists(folder) and runtime.keep(df).count() == 10
 
 
 def test_streams(spark, tmp_path):
