@@ -12,6 +12,7 @@ from corpusmill.operators import bm25, chunking, embed, fusion, graph, rerank, v
 from corpusmill.operators.bm25_index import Index
 from corpusmill.operators.ivf import IvfIndex
 from corpusmill.runtime import keep
+from corpusmill.schemas import EDGE_TYPES
 from corpusmill.sources import scan, store
 
 
@@ -107,6 +108,25 @@ class Engine:
     def node_details(self, node_id: str) -> DataFrame:
         return graph.details(self.graph.nodes(), self.graph.edges(), self._id(node_id))
 
+    def graph_data(self) -> tuple[DataFrame, DataFrame]:
+        """All nodes and all edges."""
+        return self.graph.nodes(), self.graph.edges()
+
+    def node(self, node_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(the node, its edges, its neighbours without itself), each empty for an unknown id."""
+        nodes, edges = self.graph_data()
+        own = nodes.where(F.col("id") == node_id)
+        at = graph.touching(graph.of_types(edges), own.select("id"))
+        near = graph.ends(at).where(F.col("id") != node_id)
+        return own, at.drop("start"), nodes.join(near, "id", "left_semi")
+
+    def related_chunks(self, chunk_id: str, types: tuple[str, ...] = EDGE_TYPES, hops: int = 1) -> DataFrame:
+        """(start, id, type) of the nodes within ``hops`` undirected steps, the start included if any edge touches it."""
+        if hops == 1:
+            return graph.related(self.graph.nodes(), self.graph.edges(), self._id(chunk_id), types)
+        near = graph.k_hop(self.graph.edges(), self._id(chunk_id), hops, types, directed=False)
+        return near.join(self.graph.nodes().select("id", "type"), "id").select("start", "id", "type")
+
     def files(self) -> DataFrame:
         return self.graph.nodes().where(F.col("type") == "File")
 
@@ -125,6 +145,13 @@ class Engine:
         self.chunks.clear()
         self.graph.clear()
 
+    def delete_file(self, path: str) -> None:
+        """Drop a file's chunks, its words, and its part of the graph."""
+        gone = keep(self.chunks.by_file(path).select("id"))
+        self.words().remove(gone)
+        self.chunks.delete_file(path)
+        self.graph.replace_files(self.spark.createDataFrame([(path,)], "path string"), self.graph.nodes().limit(0), self.graph.edges().limit(0))
+
     def clear_index(self, prefix: str) -> dict[str, int]:
         self.words().remove(self.chunks.read().where(F.col("file_path").startswith(prefix)).select("id"))
         before, after = self.chunks.delete_prefix(prefix)

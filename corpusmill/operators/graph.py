@@ -156,6 +156,29 @@ def file_structure(nodes: DataFrame, edges: DataFrame, files: DataFrame | None =
     return join_hot(ends(all_edges, "start"), nodes.select("id", "type").distinct(), "id"), all_edges
 
 
+def file_chain(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(file, level, id): what a file holds along CONTAINS, DEFINED_IN and HAS_METHOD, each once.
+
+    Levels are File, Chunk, Function, Class and Method. A file without chunks gives nothing; a chunk without functions, or
+    a class without methods, ends its branch.
+    """
+    e = of_types(edges, ("CONTAINS", "DEFINED_IN", "HAS_METHOD"))
+    n = nodes.select("id", "type").distinct()
+    of = lambda *types: n.where(F.col("type").isin(*types))
+    own = of("File").select(F.col("id").alias("source_id"))
+    if files is not None:
+        own = own.join(files.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    kind = lambda k: e.where(F.col("relationship_type") == k).select("source_id", "target_id")
+    chunks = join_hot(kind("CONTAINS"), own, "source_id", "left_semi").join(of("Chunk").select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    chunks = chunks.select(F.col("source_id").alias("file"), F.col("target_id").alias("chunk"))
+    inside = join_hot(kind("DEFINED_IN").withColumn("id", F.col("source_id")), of("Function", "Class"), "id").select(F.col("target_id").alias("chunk"), "id", "type")
+    found = chunks.join(inside, "chunk").select("file", F.col("type").alias("level"), "id").distinct()
+    methods = join_hot(kind("HAS_METHOD").withColumn("id", F.col("target_id")), of("Function"), "id").select(F.col("source_id").alias("class"), F.col("id").alias("method"))
+    below = found.where("level = 'Class'").join(methods, F.col("id") == F.col("class")).select("file", F.lit("Method").alias("level"), F.col("method").alias("id"))
+    every = chunks.select("file", F.lit("Chunk").alias("level"), F.col("chunk").alias("id")).union(found).union(below)
+    return every.union(chunks.select("file", F.lit("File").alias("level"), F.col("file").alias("id"))).distinct()
+
+
 def details(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(id, type, in_degree, out_degree, neighbours): distinct neighbours without the node itself."""
     e = of_types(edges)

@@ -349,6 +349,15 @@ def graph_file_structure(spark, d):
     return found.groupBy(F.col("start").alias("file_path"), "type").agg(F.count("*").alias("n"))
 
 
+def graph_file_chain(spark, d):
+    """For every file: how many chunks, functions, classes and methods it holds, over the built graph and the edges of the table."""
+    n, e = _built_graph(spark, d)
+    t = nodes(spark, d)
+    every = n.select("id", "type").union(t.select("id", "type"))
+    found = graph.file_chain(every, e.select(*graph.EDGE_KEY).union(edges(spark, d).select(*graph.EDGE_KEY)))
+    return found.groupBy("file", "level").agg(F.count("*").alias("n"))
+
+
 def graph_dependencies(spark, d):
     return graph.dependencies(nodes(spark, d), edges(spark, d))
 

@@ -182,6 +182,12 @@ SELECT md5(path || ':' || (pos + 1) || '-' || least(pos + 20, len(lines))) AS id
 k AS (SELECT DISTINCT a.start, gn.id FROM a JOIN gn ON gn.id IN (a.source_id, a.target_id) WHERE gn.type = 'Chunk'),
 b AS (SELECT * FROM a UNION SELECT k.start, ge.* FROM k JOIN ge ON ge.source_id = k.id UNION SELECT k.start, ge.* FROM k JOIN ge ON ge.target_id = k.id),
 x AS (SELECT start, source_id AS id FROM b UNION SELECT start, target_id FROM b) SELECT start AS file_path, gn.type, count(*) AS n FROM x JOIN gn ON gn.id = x.id GROUP BY ALL""",
+    "graph_file_chain": f"""WITH {CHUNKS}, {_BUILT}, {NODES}, {EDGES}, an AS (SELECT id, type FROM gn UNION SELECT id, type FROM n), ae AS (SELECT * FROM ge UNION SELECT * FROM e),
+ch AS (SELECT DISTINCT source_id AS file, target_id AS chunk FROM ae JOIN an f ON f.id = source_id AND f.type = 'File' JOIN an k ON k.id = target_id AND k.type = 'Chunk' WHERE relationship_type = 'CONTAINS'),
+de AS (SELECT DISTINCT file, an.type AS level, an.id FROM ch JOIN ae ON ae.target_id = chunk AND relationship_type = 'DEFINED_IN' JOIN an ON an.id = ae.source_id AND an.type IN ('Function', 'Class')),
+me AS (SELECT DISTINCT file, 'Method' AS level, an.id FROM de JOIN ae ON ae.source_id = de.id AND relationship_type = 'HAS_METHOD' JOIN an ON an.id = ae.target_id AND an.type = 'Function' WHERE de.level = 'Class'),
+al AS (SELECT file, 'Chunk' AS level, chunk AS id FROM ch UNION SELECT * FROM de UNION SELECT * FROM me UNION SELECT file, 'File', file FROM ch)
+SELECT file, level, count(*) AS n FROM al GROUP BY ALL""",
     "graph_dependencies": f"WITH {EDGES}, {NODES} SELECT e.source_id AS id, e.target_id, n.type AS target_type FROM e LEFT JOIN n ON n.id = e.target_id WHERE relationship_type = 'CALLS'",
     "graph_hierarchy": f"WITH {EDGES}, {NODES} SELECT e.source_id AS id, e.target_id, n.type AS target_type FROM e LEFT JOIN n ON n.id = e.target_id WHERE relationship_type = 'INHERITS_FROM'",
     "graph_node_details": f"WITH {EDGES}, {NODES}, i AS (SELECT target_id AS id, count(*) AS k FROM e GROUP BY 1), o AS (SELECT source_id AS id, count(*) AS k FROM e GROUP BY 1), m AS (SELECT id, count(DISTINCT other) FILTER (other <> id) AS k FROM (SELECT source_id AS id, target_id AS other FROM e UNION ALL SELECT target_id, source_id FROM e) GROUP BY 1) SELECT n.id, n.type, coalesce(i.k, 0) AS in_degree, coalesce(o.k, 0) AS out_degree, coalesce(m.k, 0) AS neighbours FROM n LEFT JOIN i USING (id) LEFT JOIN o USING (id) LEFT JOIN m USING (id)",

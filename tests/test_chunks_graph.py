@@ -78,6 +78,9 @@ def test_traversals(spark):
     assert {(r.id, r.target_type) for r in graph.hierarchy(n, e).collect()} == {("K", "Class"), ("P", None)}
     found, own = graph.file_structure(n, e)
     assert {r.id for r in found.collect()} == {"f", "c", "g"} and own.count() == 2
+    methods = edges(spark, ("K", "c", "DEFINED_IN", None), ("K", "h", "HAS_METHOD", None), ("K", "gone", "HAS_METHOD", None))
+    assert {(r.file, r.level, r.id) for r in graph.file_chain(n, e.union(methods)).collect()} == {("f", "File", "f"), ("f", "Chunk", "c"), ("f", "Function", "g"), ("f", "Class", "K"), ("f", "Method", "h")}
+    assert graph.file_chain(n, e, ids("nowhere")).count() == 0
     d = {r.id: (r.in_degree, r.out_degree, r.neighbours) for r in graph.details(n, e).collect()}
     assert d["g"] == (1, 2, 2) and d["lonely"] == (0, 0, 0) and d["P"] == (1, 1, 2)
     hop = {r.id: r.depth for r in graph.k_hop(e, ids("g"), 9, ("CALLS",)).collect()}
@@ -233,9 +236,16 @@ def test_reindexing_drops_what_a_file_no_longer_holds(spark, tmp_path):
     assert not e.graph.nodes().where("id = 'a.py::old'").count() and e.graph.nodes().where("id = 'b.py::other'").count() == 1
     assert e.graph.edges().where("source_id = 'a.py'").count() == 1
     assert e.stats()["bm25"]["documents"] == 2 and e.stats()["vectors"] == 2
+    own, at, near = e.node("b.py")
+    assert own.count() == 1 and at.count() == 1 and near.count() == 1 and e.node("nowhere")[0].count() == 0
+    chunk = e.chunks.by_file("b.py").first().id
+    assert {r.id for r in e.related_chunks(chunk).collect()} == {chunk, "b.py", "b.py::other"} == {r.id for r in e.related_chunks("b.py", hops=2).collect()}
+    assert e.graph_data()[0].count() == 6
     e.build_lists()
     assert [h.file_path for h in e.search("other", 1).collect()] == ["b.py"]
     assert (tmp_path / "log" / "x.log").read_text().count("indexed") == 2
+    e.delete_file("b.py")
+    assert e.chunks.count() == 1 and e.graph.nodes().where("file_path = 'b.py'").count() == 0 and e.stats()["bm25"]["documents"] == 1
 
 
 def test_embedding_providers(spark):
