@@ -29,6 +29,8 @@ from corpusmill.sources.tables import latest
 RUN, THRESHOLD = 4, 0.7
 #: 22 bands of 3 registers: at a similarity of 0.7 a pair is missed with probability 0.657 ** 22 = 0.0001.
 BANDS, ROWS = 22, 3
+#: Low bytes of a band's hash that are kept; two different bands agree in them once in 2 ** 48, and the overlap decides.
+BAND_BYTES = 6
 #: A band value that more different texts share than this proposes no pairs; their features do, by an exact prefix filter.
 HOT_BAND = 256
 #: Members of a class of copies that one task pairs with all of the class.
@@ -177,14 +179,16 @@ class NearDuplicates:
                     np.add.at(two, r, mix(e + _C3))
                     name = np.stack([one, two], 1).view(np.uint8)
                     names = [x.tobytes() if n else None for x, n in zip(name, has.tolist())]
-                    packed = [x.tobytes() if n else None for x, n in zip(hashes, has.tolist())]
+                    six = np.ascontiguousarray(hashes.view(np.uint8).reshape(b.num_rows, bands, 8)[:, :, :BAND_BYTES])
+                    packed = [x.tobytes() if n else None for x, n in zip(six, has.tolist())]
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["key", "version", "name", "bands"])
 
         def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+                h = np.zeros((b.num_rows * bands, 8), np.uint8)
+                h[:, :BAND_BYTES] = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, BAND_BYTES)
                 take = pa.array(np.repeat(np.arange(b.num_rows), bands))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(h)], ["key", "h"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(h.view(np.int64).ravel())], ["key", "h"])
 
         def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
