@@ -7,7 +7,7 @@ an item is one shift and one lowest-bit lookup away; when too many are open, the
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,34 +87,31 @@ def pack(df: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: i
     groups = max(1, round(total / TOKENS_PER_GROUP))
     kind = df.schema[key].dataType.simpleString()
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "piece_no", "n"], kind="stable")
+    def first(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("piece_no", "ascending"), ("n", "ascending")])
         bins = BestFit(capacity, open_bins)
-        at = [bins.put(n) for n in pdf["n"].tolist()]
+        at = [bins.put(n) for n in t.column("n").to_pylist()]
         left = bins.open()
-        group = int(pdf["grp"].iloc[0]) if len(pdf) else 0
-        pdf["bin_id"] = [(group << 32) + b for b in at]
-        pdf["done"] = [b not in left for b in at]
-        return pdf[["key", "piece_no", "start", "n", "bin_id", "done", "grp"]]
+        group = t.column("grp")[0].as_py() << 32
+        done = pa.array([b not in left for b in at], pa.bool_())
+        return t.select(names[:4]).append_column("bin_id", pa.array([group + b for b in at], pa.int64())).append_column("done", done).append_column("grp", t.column("grp"))
 
-    def second(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "key", "piece_no"], ascending=[False, True, True], kind="stable")
+    def second(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("n", "descending"), ("key", "ascending"), ("piece_no", "ascending")])
         bins = BestFit(capacity, GROUPS_TOGETHER * open_bins)  # as many as can have come here
-        at = [bins.put(n) for n in pdf["n"].tolist()]
-        group = int(pdf["grp"].iloc[0]) if len(pdf) else 0
-        pdf["bin_id"] = [(1 << 62) + (group << 32) + b for b in at]
-        return pdf[["key", "piece_no", "start", "n", "bin_id"]]
+        group = (1 << 62) + (t.column("grp")[0].as_py() << 32)
+        return t.select(names[:4]).append_column("bin_id", pa.array([group + bins.put(n) for n in t.column("n").to_pylist()], pa.int64()))
 
+    names = ["key", "piece_no", "start", "n", "bin_id"]
     plain = f"key {kind}, piece_no bigint, start bigint, n bigint, bin_id bigint"
     some = items.where(F.col("n") > 0).withColumn("grp", F.pmod(F.xxhash64("key", "piece_no"), F.lit(groups)))
-    laid = cut(some.groupBy("grp").applyInPandas(first, plain + ", done boolean, grp bigint"))
+    laid = cut(some.groupBy("grp").applyInArrow(first, plain + ", done boolean, grp bigint"))
     again = (
         laid.where(~F.col("done"))
         .withColumn("grp", F.floor(F.col("grp") / GROUPS_TOGETHER).cast("bigint"))
         .groupBy("grp")
-        .applyInPandas(second, plain)
+        .applyInArrow(second, plain)
     )
-    names = ["key", "piece_no", "start", "n", "bin_id"]
     none = items.where(F.col("n") == 0).withColumn("bin_id", F.lit(None).cast("bigint")).select(names)
     out = laid.where(F.col("done")).select(names).unionByName(again).unionByName(none)
     return out.withColumnRenamed("key", key)
