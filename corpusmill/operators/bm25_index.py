@@ -17,8 +17,8 @@ from corpusmill.runtime import keep
 from corpusmill.sources.versions import Versions
 
 BUCKETS, SALTS = 16, 2
-#: Tokens up to this number are named in the scan; more are joined.
-NAMED = 2_000
+#: Tokens up to this number are named in the scan; more are joined. Up to ASKED terms of queries are held by the driver.
+NAMED, ASKED = 2_000, 20_000
 
 
 class Index:
@@ -149,12 +149,14 @@ class Index:
     def scores(self, queries: DataFrame, k1: float | None = None, b: float | None = None) -> DataFrame:
         """(query_id, id, score) of every document that shares a token with a query."""
         k1, b = (bm25.K1 if k1 is None else float(k1)), (bm25.B if b is None else float(b))
-        kept = keep(bm25.query_terms(queries).withColumn("bucket", self._bucket()))
-        wanted = kept.select("token", "bucket").distinct().limit(NAMED + 1).collect()
+        terms = bm25.query_terms(queries).withColumn("bucket", self._bucket())
+        first = terms.limit(ASKED + 1).collect()
+        kept = self.spark.createDataFrame(first, terms.schema) if len(first) <= ASKED else keep(terms)
+        wanted = {(r.token, r.bucket) for r in first}
         if not self.state.get("vocabulary") or not wanted:
             return kept.select("query_id", F.lit(None).cast(self.id_type).alias("id"), F.lit(0.0).alias("score")).limit(0)
-        few = len(wanted) <= NAMED
-        where = F.col("bucket").isin(sorted({r.bucket for r in wanted})) & F.col("token").isin([r.token for r in wanted]) if few else F.col("bucket") >= 0
+        few = len(first) <= ASKED and len(wanted) <= NAMED
+        where = F.col("bucket").isin(sorted({b for _, b in wanted})) & F.col("token").isin(sorted(t for t, _ in wanted)) if few else F.col("bucket") >= 0
         vocabulary = self._table(self.state["terms"])
         weights = (vocabulary.where(where) if few else vocabulary).select("token", self._idf().alias("idf"))
         terms = kept.drop("bucket").join(weights, "token")

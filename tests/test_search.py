@@ -181,6 +181,9 @@ def test_kept_index_asked_for_many_tokens(spark, tmp_path, monkeypatch):
     index = bm25_index.Index(spark, str(tmp_path / "ix")).build(docs)
     q = spark.createDataFrame([(i, t) for i, t in DOCS], "query_id int, query string")
     few = sorted(tuple(r) for r in index.search(q).select("query_id", "id", "rank").collect())
+    monkeypatch.setattr(bm25_index, "ASKED", 3)
+    assert sorted(tuple(r) for r in index.search(q).select("query_id", "id", "rank").collect()) == few
+    monkeypatch.setattr(bm25_index, "ASKED", 20_000)
     monkeypatch.setattr(bm25_index, "NAMED", 1)
     assert few and sorted(tuple(r) for r in index.search(q).select("query_id", "id", "rank").collect()) == few
 
