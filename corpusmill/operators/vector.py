@@ -1,7 +1,7 @@
 """Exact vector search, in blocks of queries against all rows.
 
 A block of queries of checked size goes to every task; a task keeps the k best of its rows for each query,
-so what is shuffled is k rows a query and batch, whatever the number of rows. More queries than a block
+so what is shuffled is k rows a query and task, whatever the number of rows. More queries than a block
 holds are answered block after block, one scan a block.
 """
 
@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.bm25 import top_k
+from corpusmill.operators.bm25 import foremost, merged, top_k
 from corpusmill.runtime import ship
 
 #: Values of query vectors that go to the tasks at once (128 MB), and the most queries.
@@ -43,11 +44,11 @@ def distances(q: np.ndarray, m: np.ndarray, metric: str) -> np.ndarray:
         return -(q @ m.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :])
 
 
-def nearest_rows(q: np.ndarray, m: np.ndarray, k: int, metric: str, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def nearest_rows(q: np.ndarray, m: np.ndarray, k: int, metric: str, skip: np.ndarray | None = None, within: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of ``m``, distances) of the k nearest of each query and of all that may tie with the k-th.
 
     One matrix product finds the candidates; the Euclidean distance of these is then taken without its cancellation.
-    skip[i, j] tells that row j is no candidate of query i.
+    skip[i, j] tells that row j is no candidate of query i, within[i] the distance beyond which none is.
     """
     squares = (m**2).sum(1)
     for at in range(0, len(q), AT_ONCE):
@@ -61,7 +62,10 @@ def nearest_rows(q: np.ndarray, m: np.ndarray, k: int, metric: str, skip: np.nda
         rough = np.where(np.isnan(rough), np.inf, rough)
         if skip is not None:
             rough[skip[at : at + AT_ONCE]] = np.inf
-        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if 0 < k < m.shape[0] else np.full(len(part), np.inf)
+        edge = np.full(len(part), np.inf) if within is None else within[at : at + AT_ONCE].copy()
+        open_ = np.flatnonzero(np.isinf(edge))
+        if 0 < k < m.shape[0] and len(open_):
+            edge[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1]
         for i, row in enumerate(rough):
             good = np.flatnonzero((row <= edge[i] + slack[i]) & (row < np.inf))
             yield good, ((m[good] - part[i]) ** 2).sum(1) if metric == "l2" else row[good]
@@ -79,33 +83,43 @@ def search(df: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", k
         df = df.where(where)
     kind = df.schema[key].dataType.simpleString()
     q_kind = queries.schema["query_id"].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    # as many tasks as run at once, since each sends k rows a query
+    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).coalesce(df.sparkSession.sparkContext.defaultParallelism)
     queries = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     n, values = queries.agg(F.count("*"), F.sum(F.size("vector").cast("bigint"))).first()
     blocks = max(1, -(-n // BLOCK), -(-(values or 0) // BLOCK_VALUES))
     out = None
     for i in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        held = df.sparkSession.sparkContext.broadcast([(r.query_id, r.vector) for r in part.collect()])
+        part = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow()
+        names, asked = (part[c].combine_chunks() for c in ("query_id", "vector"))
+        sizes = pc.unique(pc.list_value_length(asked)).to_pylist()
+        held = df.sparkSession.sparkContext.broadcast([(names.filter(pc.equal(pc.list_value_length(asked), x)), _matrix(asked, x)[1]) for x in sizes])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            by_size: dict[int, list] = {}
-            for qid, v in held.value:
-                by_size.setdefault(len(v), []).append((qid, v))
+            blocks = held.value
+            found: list[list[list[tuple]]] = [[[] for _ in names] for names, _ in blocks]
+            # distances beyond these can't come in any more
+            most = [np.full(len(names), np.inf) for names, _ in blocks]
+            id_type = None
             for b in batches:
-                for dims, own in by_size.items():
-                    at, m = _matrix(b.column(1), dims)
-                    if not len(at):
+                id_type = b.schema.field(0).type
+                b = b.take(pc.sort_indices(b.column(0)))
+                for (names, q), best, within in zip(blocks, found, most):
+                    at, m = _matrix(b.column(1), q.shape[1])
+                    if not len(at) or k < 1:
                         continue
-                    ids = np.asarray(b.column(0).take(pa.array(at)).to_pylist(), object)
-                    q = np.asarray([v for _, v in own], np.float64)
-                    same = np.asarray([qid for qid, _ in own], object)[:, None] == ids[None, :] if without_self else None
-                    keys, hits, far = [], [], []
-                    for (qid, _), (good, row) in zip(own, nearest_rows(q, m, k, metric, same)):
-                        keys += [qid] * len(good)
-                        hits += ids[good].tolist()
-                        far += row.tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.from_numpy_dtype(np.int64) if q_kind == "bigint" else None), pa.array(hits, b.schema.field(0).type), pa.array(far, pa.float64())], ["query_id", "id", "far"])
+                    ids = b.column(0).take(pa.array(at))
+                    same = np.asarray(names.to_pylist(), object)[:, None] == np.asarray(ids.to_pylist(), object)[None, :] if without_self else None
+                    for j, (good, far) in enumerate(nearest_rows(q, m, k, metric, same, within.copy())):
+                        if len(good):
+                            first = foremost(far, k)
+                            hits = best[j] = merged(best[j], list(zip(far[first].tolist(), ids.take(pa.array(good[first])).to_pylist())), k)
+                            if len(hits) >= k:
+                                within[j] = hits[k - 1][0] + 2 * TIE
+            for (names, _), best in zip(blocks, found):
+                flat = [(j, x, far) for j, hits in enumerate(best) for far, x in hits]
+                if flat:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array([x[0] for x in flat], pa.int64())), pa.array([x[1] for x in flat], id_type), pa.array([x[2] for x in flat], pa.float64())], ["query_id", "id", "far"])
 
         found = rows.mapInArrow(run, f"query_id {q_kind}, id {kind}, far double")
         out = found if out is None else out.unionByName(found)

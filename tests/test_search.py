@@ -46,10 +46,10 @@ def test_bm25_of_nothing(spark):
     assert bm25.search(some, bm25.one_query(spark, "beta"), 0).count() == 0
 
 
-def seen_by_top_k(monkeypatch):
+def seen_by_top_k(monkeypatch, module=bm25):
     """Numbers of the rows from which the best are taken."""
-    seen, real = [], bm25.top_k
-    monkeypatch.setattr(bm25, "top_k", lambda scored, *a, **b: (seen.append(scored.count()), real(scored, *a, **b))[1])
+    seen, real = [], module.top_k
+    monkeypatch.setattr(module, "top_k", lambda scored, *a, **b: (seen.append(scored.count()), real(scored, *a, **b))[1])
     return seen
 
 
@@ -117,6 +117,42 @@ def test_vector_search_in_blocks(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.id) for r in vector.search(df, q, 4).collect()) == whole
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_vector_search_sends_the_best_of_a_task(spark, monkeypatch, metric):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, size=(600, 3)).astype(float)  # most vectors occur many times, so distances tie
+    x[0] = 1.0
+    names = [f"{i:03}" for i in rng.permutation(600)]
+    df = vectors(spark, [(i, v.tolist(), "x") for i, v in zip(names, x)]).repartition(3)
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 600, 50)], "query_id bigint, vector array<float>")
+    seen = seen_by_top_k(monkeypatch, vector)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = {(r.query_id, r["rank"]): r.id for r in vector.search(df, q, 4, metric).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, norms = {}, np.linalg.norm(x, axis=1)
+    for i in range(0, 600, 50):
+        if metric == "cosine" and not norms[i]:
+            continue
+        far = ((x - x[i]) ** 2).sum(1) if metric == "l2" else -(x @ x[i]) / np.where(norms > 0, norms, np.nan) / norms[i]
+        best = sorted((round(f, 9), n) for f, n in zip(far.tolist(), names) if f == f)[:4]
+        want |= {(i, k + 1): n for k, (_, n) in enumerate(best)}
+    assert got == want
+    assert seen[0] <= 2 * 4 * 3 * 12  # not 4 a query and batch, nor all that tie
+
+
+def test_hybrid_batch_makes_no_index(spark, monkeypatch):
+    from corpusmill.operators.bm25_index import Index
+    from corpusmill.plans import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    monkeypatch.setattr(queries, "_KEPT", {})
+    monkeypatch.setattr(Index, "build", lambda *a: pytest.fail("an index was made"))
+    assert queries.hybrid_batch(spark, "/root/testdata/sf0.001").count()
+
+
 def test_validate(spark):
     df = vectors(spark, [("a", [1.0, 2.0], "x"), ("b", [1.0], "x"), ("c", [1.0, float("nan")], "x"), ("d", None, "x")])
     assert [r.id for r in vector.validate(df, 2).collect()] == ["a"]
