@@ -37,6 +37,29 @@ def test_foreign_files(spark):
     assert ff.foreign(df.limit(0)).count() == 0
 
 
+def test_vendored_copies_by_what_is_fitted(spark):
+    import random
+
+    rng = random.Random(2)
+    words = "load read settings values path source reader parse rows check send build count token index write file open merge state".split()
+
+    def code(camel, n):
+        def name():
+            a, b = rng.sample(words, 2)
+            return a + b.title() if camel else f"{a}_{b}"
+
+        return f"import {name()}\n\n\n" + "".join(f"def {name()}({name()}):\n    {name()} = {name()}({rng.choice(words)})\n    if {name()}:\n        return {name()}.{rng.choice(words)}\n\n" for _ in range(n))
+
+    own = [(f"r/h{i}.py", "python", code(False, rng.randint(4, 9))) for i in range(300)]
+    copies = [(f"r/{'vendor/' if i < 30 else ''}v{i}.py", "python", code(True, rng.randint(4, 9))) for i in range(36)]
+    got = {r.path: r.kind for r in ff.foreign(files(spark, *own, *copies)).collect()}
+    assert got == {x[0]: "vendored" for x in copies}  # those without a trace by their style
+    # copies that are written like the rest: traces alone count
+    copies = [(f"r/{'vendor/' if i < 30 else ''}v{i}.py", "python", code(False, rng.randint(4, 9))) for i in range(36)]
+    got = {r.path: r.kind for r in ff.foreign(files(spark, *own, *copies)).collect()}
+    assert got == {x[0]: "vendored" for x in copies[:30]}
+
+
 def test_foreign_files_by_their_names_alone(spark):
     import random
 
